@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["intervals"]
+MODULES = ["rejects", "intervals"]
 
 
 def _all(what: str) -> dict:

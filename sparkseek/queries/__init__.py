@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rejects", "intervals"]
+MODULES = ["rejects", "drift", "intervals"]
 
 
 def _all(what: str) -> dict:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkseek.functions import variants as V
-from sparkseek.runtime import broadcast_if_small
+from sparkseek.runtime import broadcast_if_small, materialize
 
 #: Types that say nothing about a field's content (fixed values).
 UNTYPED = ("Null", "Unigram", "Bigram", "Trigram")
@@ -93,7 +93,7 @@ class Drift:
         names = fields.groupBy("file_id").agg(F.collect_set("field_name").alias("names"))
         here = fields.join(steps, "file_id").select("file_id", "field_name", F.struct("types", "left", "right").alias("now"))
         back = steps.join(fields.withColumnRenamed("file_id", "before"), "before").select("file_id", "field_name", F.struct("types", "left", "right").alias("was"))
-        self.compared = here.join(back, ["file_id", "field_name"], "full")
+        self.compared = materialize(here.join(back, ["file_id", "field_name"], "full"), "compared")  # read several times
         self.names = steps.join(names, "file_id", "left").join(names.select(F.col("file_id").alias("before"), F.col("names").alias("old_names")), "before", "left")
 
     def edges(self) -> DataFrame:
@@ -107,6 +107,7 @@ class Drift:
         if self.anchored:
             pairs = pairs.where(left & right)
         pairs = pairs.withColumn("place", (left.cast("double") + right.cast("double")) / 2).withColumn("name", _names_similar(F.col("gone"), F.col("new"))).select("file_id", "before", "gone", "new", "place", "name")
+        pairs = materialize(pairs, "pairs")
         if self.values is None:
             return pairs.withColumn("weight", 0.05 + 0.5 * F.col("place") + 0.45 * F.col("name"))
         wanted = pairs.select(F.col("before").alias("file_id"), F.col("gone").alias("field")).union(pairs.select("file_id", F.col("new").alias("field"))).distinct()
@@ -123,7 +124,8 @@ class Drift:
     def renames(self) -> DataFrame:
         """(file_id, gone, new): the matching. Groups are the candidate edges of one pair of files, bounded by the files' own widths."""
         edges = self.edges() if self.anchored else self.edges().where(F.col("weight") >= self.least)
-        return edges.select("file_id", "gone", "new", "weight").groupBy("file_id").applyInPandas(_match_group, "file_id long, gone string, new string")
+        matched = edges.select("file_id", "gone", "new", "weight").groupBy("file_id").applyInPandas(_match_group, "file_id long, gone string, new string")
+        return materialize(matched, "renames")
 
     def changes(self) -> DataFrame:
         """(file_id, field_name, drift, old_name): retyped, renamed, added and removed fields of every file that has one before it."""
@@ -201,7 +203,7 @@ def unify(records: DataFrame, v: str, names: dict[str, list[str]], types: dict[s
         else:
             col = F.when(value.isNull() | F.is_variant_null(value), None).when(V.tag(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
         name = canonical.replace(".", "__")
-        while name in keep or name in {n for _, n in cols}:
+        while name.lower() in {n.lower() for n in [*keep, *(n for _, n in cols)]}:
             name += "_"
         cols.append((col, name))
     return records.select(*keep, *(c.alias(n) for c, n in cols))

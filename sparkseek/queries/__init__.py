@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rejects", "drift", "intervals"]
+MODULES = ["reference", "rejects", "drift", "intervals"]
 
 
 def _all(what: str) -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["queries_terms", "queries_vectors", "queries_tokens"]
+MODULES = ["queries_terms", "queries_vectors", "queries_tokens", "queries_pages"]
 
 
 def _all(what: str) -> dict:

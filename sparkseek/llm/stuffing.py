@@ -61,6 +61,23 @@ _LINK = regex.compile(
 )
 
 
+#: Characters of the Western code page by the byte they stand for, as they appear where UTF-8 was read in it.
+_BYTE = {bytes([b]).decode("cp1252", "ignore") or chr(b): b for b in range(0x80, 0x100)} | {chr(b): b for b in range(0x80, 0x100)}
+_MISREAD = regex.compile("[" + "".join(map(regex.escape, _BYTE)) + "]{2,}")
+
+
+def _repaired(text: str) -> str:
+    """The text with UTF-8 sequences that were read as single-byte characters put right; anything else stays."""
+
+    def back(m: regex.Match) -> str:
+        try:
+            return bytes(_BYTE[c] for c in m.group()).decode("utf-8")
+        except UnicodeDecodeError:
+            return m.group()
+
+    return text if text.isascii() else _MISREAD.sub(back, text)
+
+
 def _is_sentence_word(token: str, following: str) -> bool:
     word = _STRIP.sub("", token.lower()).replace("’", "'")
     if word in _FUNCTION or _ELIDED.match(word):
@@ -72,6 +89,7 @@ def features(text: str | None) -> tuple[float, float, float, float, float]:
     """The five features of a text; one without words counts as neutral. Time and memory are linear in its length."""
     if not text or text.isspace():
         return 0.0, 0.0, 1.0, 0.0, 1.0
+    text = _repaired(text)
     link = tags = spoken = plain = separators = 0
     words: Counter[str] = Counter()
     at = 0

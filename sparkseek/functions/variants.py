@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER_TAGS = ("BIGINT", "DOUBLE", "FLOAT")
 
 
-@contextmanager
-def duplicate_keys_allowed(spark: SparkSession):
-    """Within it, JSON objects that repeat a key parse, and the last value wins; the setting is taken when an expression is analysed."""
-    key = "spark.sql.variant.allowDuplicateKeys"
-    old = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
-
-
 def with_variant(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add ``name``: the text as a VARIANT if it is one JSON object, else null."""
-    with duplicate_keys_allowed(df.sparkSession):
-        out = df.withColumn(name, F.try_parse_json(F.col(text)))
-        out.schema  # analysed here, inside the setting
+    """Add ``name``: the text as a VARIANT if it is one JSON object, else null.
+
+    Where an object repeats a key the last value wins; Spark reads that setting when a query is planned, so it is switched on for the session.
+    """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    out = df.withColumn(name, F.try_parse_json(F.col(text)))
     return out.withColumn(name, F.when(F.schema_of_variant(name).startswith("OBJECT"), F.col(name)))
 
 

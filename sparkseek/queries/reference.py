@@ -168,10 +168,15 @@ def json_where_number(spark, d):
     return rows.select(F.col("_offset").alias("event_id"), db.source.typed("k", FieldType.Float64).alias("k"))
 
 
-@_query("select rec_id, json_extract(json_line, '$.address.ward')::double ward from permits where json_type(json_line, '$.address.ward') in ('UBIGINT', 'BIGINT', 'DOUBLE') and json_extract(json_line, '$.address.ward')::double >= 10")
+@_query("select event_id, (props->>'$.k')::double k, event_type from events where (props->>'$.k')::double >= 50 and event_type <> 'view'")
 def json_select_nested(spark, d):
-    db = _permits(spark, d)
-    return db.where("address.ward", ">=", 10).ordered(False).get().select(F.col("_offset").alias("rec_id"), db.source.typed("address.ward", FieldType.Float64).alias("ward"))
+    """Events wrapped two levels deep, addressed by dotted fields."""
+    nested = F.concat(F.lit('{"event":{"type":'), F.to_json(F.struct("event_type")), F.lit(',"props":'), F.col("props"), F.lit("}}"))
+    lines = _table(spark, d, "events").select(F.col("event_id").alias("_offset"), F.length(nested).alias("_length"), nested.alias("value"))
+    db = Database(J.JsonSource(J.bronze(lines)))
+    kind = db.source.typed("event.type.event_type", FieldType.String)
+    rows = db.where("event.props.k", ">=", 50).ordered(False).get().where(kind != "view")
+    return rows.select(F.col("_offset").alias("event_id"), db.source.typed("event.props.k", FieldType.Float64).alias("k"), kind.alias("event_type"))
 
 
 @_query("select json_type(json_line, '$.parcel') is null missing, coalesce(json_type(json_line, '$.parcel') = 'NULL', false) is_null, count(*) n from permits group by all")

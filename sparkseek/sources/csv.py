@@ -60,17 +60,19 @@ def bronze(lines: DataFrame, header: list[str], mode: str = "failfast") -> DataF
     A repeated header name takes the last of its cells.
     """
     width = len(header)
-    fields = ", ".join(f"c{i} string" for i in range(width + 1))
-    rows = lines.where("_offset > 0").withColumn("_c", F.from_csv("value", fields, {"mode": "PERMISSIVE", "escape": '"', "nullValue": "￿", "emptyValue": ""}))
-    short = F.size(F.filter(F.array(*(F.col(f"_c.c{i}") for i in range(width + 1))), lambda c: c.isNotNull()))
-    names, cells = F.array(*map(F.lit, header)), F.array(*(F.col(f"_c.c{i}") for i in range(width)))
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    bare = F.regexp_replace("value", '"[^"]*"', "")  # quoted parts hold no separators
+    n = F.length(bare) - F.length(F.regexp_replace(bare, ",", "")) + 1
+    rows = lines.where("_offset > 0").withColumn("_c", F.from_csv("value", fields, {"mode": "PERMISSIVE", "escape": '"', "emptyValue": ""})).withColumn("_n", n)
+    names = F.array(*map(F.lit, header))
+    cells = F.array(*(F.when(F.col("_n") > i, F.coalesce(F.col(f"_c.c{i}"), F.lit(""))) for i in range(width)))
     entries = F.filter(F.arrays_zip(names.alias("k"), cells.alias("c")), lambda e: e.getField("c").isNotNull())
-    out = rows.withColumn("_over", short > width)
+    out = rows.withColumn("_over", F.col("_n") > width)
     if mode == "failfast":
         wrong = F.raise_error(F.concat(F.lit("more cells than headers at byte "), F.col("_offset").cast("string")))
         out = out.withColumn("_over", F.when(F.col("_over"), wrong.cast("boolean")).otherwise(F.lit(False)))
     merged = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e.getField("k")), F.create_map(e.getField("k"), e.getField("c"))))
-    return out.withColumn("cells", F.when(~F.col("_over"), merged)).withColumn("_corrupt", F.col("_over")).drop("_c", "_over")
+    return out.withColumn("cells", F.when(~F.col("_over"), merged)).withColumn("_corrupt", F.col("_over")).drop("_c", "_n", "_over")
 
 
 class CsvSource(Source):

@@ -10,20 +10,21 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = r"[ \t\n\r]"
 _KEPT = re.compile("[^a-z0-9]+")
 
 
-def words(text: Column) -> Column:
-    """ASCII mode: lower-case words split at blanks; characters other than ASCII letters and digits vanish inside a word."""
-    return F.split(F.lower(F.regexp_replace(text, r"[^a-zA-Z0-9 \t\n\r]", "")), BLANKS + "+")
+def kept_characters(text: Column) -> Column:
+    """ASCII mode: letters and digits in lower case, and blanks."""
+    return F.lower(F.regexp_replace(text, r"[^a-zA-Z0-9 \t\n\r]", ""))
 
 
 def ngrams(text: Column, n: int, normalize: str = "ascii") -> Column:
-    """Array of the n-grams of each word with at least n characters; null text gives null, empty text an empty array."""
+    """Array of the n-grams of each word with at least n characters; null text gives null, empty text an empty array.
+
+    One overlapping match over the whole text: grams have no blanks, so none crosses words. Linear in the length of the text.
+    """
     clean = nfkd_ascii(text) if normalize == "nfkd" else text
-    long_enough = F.filter(words(clean), lambda w: F.length(w) >= n)
-    return F.flatten(F.transform(long_enough, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))))
+    return F.regexp_extract_all(kept_characters(clean), F.lit(f"(?=([a-z0-9]{{{n}}}))"), F.lit(1))
 
 
 def ngrams_between(text: Column, low: int, high: int, normalize: str = "ascii") -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkseek.functions.columns import once
+
 NUMBER_TAGS = ("BIGINT", "DOUBLE", "FLOAT")
 
 
@@ -14,8 +16,8 @@ def with_variant(df: DataFrame, text: str, name: str) -> DataFrame:
     Where an object repeats a key the last value wins; Spark reads that setting when a query is planned, so it is switched on for the session.
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    out = df.withColumn(name, F.try_parse_json(F.col(text)))
-    return out.withColumn(name, F.when(F.schema_of_variant(name).startswith("OBJECT"), F.col(name)))
+    out = df.withColumn(name, once(F.try_parse_json(F.col(text))))
+    return out.withColumn(name, F.when(F.col(text).rlike(r"^\s*\{"), F.col(name)))
 
 
 def path_of(field: str, literal: bool = False) -> str:

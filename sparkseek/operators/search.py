@@ -9,15 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkseek.functions.text import ngrams, ngrams_between
+from sparkseek.functions.columns import once
+from sparkseek.functions.text import kept_characters, ngrams, ngrams_between
 
 K1 = 1.2
 
 
-def _same(gram: str):
-    return lambda x: x == gram
-
-
 def query_grams(like: str, low: int, high: int) -> dict[str, int]:
     """Grams of a query with their multiplicity; the same rules as for documents, evaluated on the driver."""
     import re
@@ -60,17 +57,15 @@ def search(docs: DataFrame, like: str, low: int = 1, high: int = 2, within: Data
     if not grams:
         return docs.select("doc", F.lit(0.0).alias("score")).limit(0)
     names = sorted(grams)
-    every = ngrams_between(F.col("text"), low, high)
-    seen = docs.select("doc", F.coalesce(every, F.array().cast("array<string>")).alias("grams"))
-    tf = [F.size(F.filter("grams", _same(g))).alias(f"t{i}") for i, g in enumerate(names)]
-    counted = seen.select("doc", *tf)
-    stats = counted.agg(F.count("*").alias("n"), *(F.count(F.when(F.col(f"t{i}") > 0, 1)).alias(f"d{i}") for i in range(len(names))))
-    hit = F.lit(False)
+    seen = docs.select("doc", once(kept_characters(F.coalesce("text", F.lit("")))).alias("kept"))
+    # overlapping occurrences; grams have no blanks, so none crosses words
+    counted = seen.select("doc", once(F.array(*(F.regexp_count("kept", F.lit(f"(?={g})")) for g in names))).alias("tf"))
+    stats = counted.agg(F.count("*").alias("n"), F.array(*(F.count(F.when(F.get("tf", F.lit(i)) > 0, 1)) for i in range(len(names)))).alias("df"))
     score = F.lit(0.0)
     for i, g in enumerate(names):
-        hit = hit | (F.col(f"t{i}") > 0)
-        score = score + F.lit(float(grams[g])) * F.when(F.col(f"t{i}") > 0, term_score(F.col("n"), F.col(f"d{i}"), F.col(f"t{i}"))).otherwise(0.0)
-    rows = counted.where(hit)
+        tf = F.get("tf", F.lit(i))
+        score = score + F.lit(float(grams[g])) * F.when(tf > 0, term_score(F.col("n"), F.get("df", F.lit(i)), tf)).otherwise(0.0)
+    rows = counted.where(F.exists("tf", lambda x: x > 0))
     if within is not None:
         rows = rows.join(within, "doc", "left_semi")
     scored = rows.crossJoin(F.broadcast(stats)).select("doc", score.alias("score"))  # stats: one row

@@ -362,6 +362,31 @@ def knn_lsh(spark, d):
     return K.knn_lsh(_table(spark, d, "embeddings"), _vector(spark, d), 10)
 
 
+@_query()
+def knn_hnsw(spark, d):
+    """Approximate neighbours of the vectors whose id is divisible by 50, from small-world graphs."""
+    from sparkseek.operators import hnsw
+    from sparkseek.runtime import fresh_path
+
+    e, path = _table(spark, d, "embeddings"), fresh_path(spark, "hnsw")
+    hnsw.build(e, path, 64)
+    return hnsw.search(spark.read.parquet(path), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)
+
+
+@_query("select r_regionkey || ',' || case when r_name like '%,%' then '\"' || r_name || '\"' else r_name end as \"value\" from region")
+def export_csv(spark, d):
+    from sparkseek.sources.export import csv_lines
+
+    return csv_lines(_table(spark, d, "region").select("r_regionkey", "r_name"))
+
+
+@_query("select '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' as \"value\" from nation")
+def export_jsonl(spark, d):
+    from sparkseek.sources.export import json_lines
+
+    return json_lines(_table(spark, d, "nation").select("n_nationkey", "n_name"))
+
+
 # incremental ingest
 
 

@@ -28,8 +28,9 @@ class Settings:
 
     k: int = 5
     cell_rows: int = 2048  # mean rows of a cell
-    max_cells: int = 4096  # beyond it cells grow and are split into blocks
-    sample_rows: int = 65_536  # most rows the codebooks are trained on
+    max_cells: int = 16_384  # beyond it cells grow and are split into blocks
+    sample_rows: int = 65_536  # rows the codebooks are trained on, or
+    sample_per_cell: int = 16  # so many for each cell, if that is more
     books: int = 6  # residual codebooks
     words: int = 256  # codewords of each
     beam: int = 4
@@ -146,9 +147,10 @@ class Index:
         clean = materialize(valid_vectors(vectors, id_col, point_col, d), "vectors")
         self.n = clean.count()
         self.cells = min(s.max_cells, max(1, round(self.n / s.cell_rows)))
-        share = min(1.0, 1.1 * s.sample_rows / max(self.n, 1))
-        picked = clean.where(F.pmod(F.xxhash64("vec_id", F.lit(s.seed)), F.lit(1_000_000)) < int(1_000_000 * share)).limit(s.sample_rows)
-        sample = np.array([r["point"] for r in picked.toLocalIterator()], np.float32).reshape(-1, d)
+        wanted = max(s.sample_rows, s.sample_per_cell * self.cells)  # at most 262,144 rows
+        share = min(1.0, 1.1 * wanted / max(self.n, 1))
+        picked = clean.where(F.pmod(F.xxhash64("vec_id", F.lit(s.seed)), F.lit(1_000_000)) < int(1_000_000 * share)).limit(wanted)
+        sample = picked.select("point").toArrow().column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, d)
         if not len(sample):
             sample = np.zeros((1, d), np.float32)
         self.books = self.spark.sparkContext.broadcast(Codebooks.train(sample, self.cells, s))  # bounded by max_cells, books and words

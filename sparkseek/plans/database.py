@@ -10,6 +10,7 @@ from sparkseek.operators import search as S
 from sparkseek.plans.query import Query, QueryBuilder, QueryError, Search, Where, validate
 from sparkseek.sources.base import Source
 
+MAX_HITS_SENT = 10_000
 COMPARE = {"<": "__lt__", "<=": "__le__", "==": "__eq__", ">=": "__ge__", ">": "__gt__"}
 
 
@@ -154,10 +155,11 @@ class Database:
         docs = self.source.df.select(F.col(doc).alias("doc"), text.alias("text"))
         allowed = self._filtered(q).select(F.col(doc).alias("doc")) if q.where else None
         scored = S.search(docs, s.like, s.min_gram, s.max_gram, within=allowed, limit=q.limit)
-        data = self.source.df.select(F.col(doc).alias("doc"), self.source.json(None).alias("data"))
-        if q.limit is not None:
-            data = data.join(F.broadcast(scored.select("doc")), "doc", "left_semi") if q.limit <= 10_000 else data
-        return data.join(scored, "doc").orderBy(F.col("score").desc(), "doc").select("data", "score")
+        hits = scored.select(F.col("doc").alias("_doc"), F.col("score").alias("_score"))
+        if q.limit is not None and q.limit <= MAX_HITS_SENT:
+            hits = F.broadcast(hits)
+        rows = self.source.df.join(hits, F.col(doc) == F.col("_doc")).orderBy(F.col("_score").desc(), "_doc")
+        return rows.select(self.source.json(None).alias("data"), F.col("_score").alias("score"))
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:

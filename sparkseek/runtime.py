@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparkseek/{name}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the Python workers of the application, once: they may lack the folder it was imported from."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="sparkseek-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(folder, "sparkseek_code.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("sparkseek", os.path.relpath(full, package)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back: cuts lineage, survives lost executors, keeps column pruning."""
     spark = df.sparkSession

@@ -7,10 +7,12 @@ position up to which lines were read, so a restart goes on where the last commit
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -148,6 +150,8 @@ class LinesSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known. The source's processes get its classes by value, since they don't see the files shipped to workers."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(LinesSource)
 
 

@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkseek.runtime import materialize
+from sparkseek.runtime import broadcast_if_small, materialize
 
 
 @dataclass(frozen=True)
@@ -137,15 +137,22 @@ def _unbytes(column: pa.Array, dtype, width: int) -> np.ndarray:
 
 
 class Index:
-    """All valid vectors, encoded and written once to shared storage: (vec_id, x, cell, codes, norm, visit)."""
+    """All valid vectors, encoded and written once to shared storage: (vec_id, n, x, cell, codes, norm, visit).
+
+    Points that several ids share are indexed once, under the smallest id (``n``: how many share it), since a large group of copies would
+    be compared with itself; ``copies`` has (vec_id, first) of all ids in such groups, and results are spread over them at the end.
+    """
 
     def __init__(self, vectors: DataFrame, id_col: str = "vec_id", point_col: str = "point", d: int = 32, settings: Settings | None = None):
         """``vectors`` may have repeated, null, mis-sized, non-finite and zero points (left out) and any other columns (not read)."""
         self.s, self.d = settings or Settings(), d
         s = self.s
         self.spark = vectors.sparkSession
-        clean = materialize(valid_vectors(vectors, id_col, point_col, d), "vectors")
+        every = materialize(valid_vectors(vectors, id_col, point_col, d), "vectors")
+        clean = materialize(every.groupBy("point").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).select("vec_id", "point", "n"), "points")
         self.n = clean.count()
+        shared = clean.where("n > 1").select(F.col("vec_id").alias("first"), "point")
+        self.copies = None if shared.isEmpty() else materialize(every.join(broadcast_if_small(shared), "point").select("vec_id", "first"), "copies")
         self.cells = min(s.max_cells, max(1, round(self.n / s.cell_rows)))
         wanted = max(s.sample_rows, s.sample_per_cell * self.cells)  # at most 262,144 rows
         share = min(1.0, 1.1 * wanted / max(self.n, 1))
@@ -154,7 +161,7 @@ class Index:
         if not len(sample):
             sample = np.zeros((1, d), np.float32)
         self.books = self.spark.sparkContext.broadcast(Codebooks.train(sample, self.cells, s))  # bounded by max_cells, books and words
-        self.rows = materialize(clean.mapInArrow(self._encode(), "vec_id long, x binary, cell int, codes binary, norm float, visit array<int>"), "encoded")
+        self.rows = materialize(clean.mapInArrow(self._encode(), "vec_id long, n long, x binary, cell int, codes binary, norm float, visit array<int>"), "encoded")
 
     def _encode(self):
         shared, s, d = self.books, self.s, self.d
@@ -171,18 +178,49 @@ class Index:
                 codes, rest = b.encode(x - b.coarse[cell], s.beam)
                 norm = ((b.coarse[cell] + rest) ** 2).sum(1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * probes), pa.array(visit.astype(np.int32).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), _bytes(x), pa.array(cell.astype(np.int32)), _bytes(codes), pa.array(norm.astype(np.float32)), lists], ["vec_id", "x", "cell", "codes", "norm", "visit"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _bytes(x), pa.array(cell.astype(np.int32)), _bytes(codes), pa.array(norm.astype(np.float32)), lists], ["vec_id", "n", "x", "cell", "codes", "norm", "visit"])
 
         return run
 
-    def neighbours(self, queries: DataFrame | None = None) -> DataFrame:
-        """(vec_id, ids, dists): the k nearest other vectors of each query (default: every vector), nearest first, ties by id.
+    def members(self, which: Column | None = None) -> DataFrame:
+        """(vec_id, first) of every valid vector, or of those for which the condition on vec_id holds."""
+        alone = self.rows.where("n = 1").select("vec_id", F.col("vec_id").alias("first"))
+        rows = alone if self.copies is None else alone.unionByName(self.copies)
+        return rows if which is None else rows.where(which)
+
+    def vectors(self, which: Column | None = None) -> DataFrame:
+        """(vec_id, x) of every valid vector, or of those for which the condition on vec_id holds."""
+        if self.copies is None:
+            rows = self.rows.select("vec_id", "x")
+            return rows if which is None else rows.where(which)
+        return self.members(which).join(self.rows.select(F.col("vec_id").alias("first"), "x"), "first").select("vec_id", "x")
+
+    def neighbours(self, which: Column | None = None) -> DataFrame:
+        """(vec_id, ids, dists): the k nearest other vectors of every vector, or of those for which the condition on vec_id holds; nearest first, ties by id.
+
+        Of a group of copies only the k + 1 smallest ids can be anyone's neighbours at their distance, so groups are never paired up.
+        """
+        if self.copies is None:
+            return self._points_near(self.rows if which is None else self.rows.where(which))
+        k = self.s.k
+        asked = self.rows.join(self.members(which).select(F.col("first").alias("vec_id")).distinct(), "vec_id", "left_semi")
+        near = self._points_near(asked)
+        rank = F.row_number().over(Window.partitionBy("first").orderBy("vec_id"))
+        heads = self.copies.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("first").agg(F.sort_array(F.collect_list("vec_id")).alias("heads"))
+        pairs = near.select("vec_id", F.explode(F.concat(F.array(F.struct(F.lit(0.0).alias("dist"), F.col("vec_id").alias("first"))), F.zip_with("dists", "ids", lambda a, i: F.struct(a.alias("dist"), i.alias("first"))))).alias("p"))
+        spread = pairs.select("vec_id", "p.dist", "p.first").join(broadcast_if_small(heads), "first", "left").select("vec_id", "dist", F.explode(F.coalesce("heads", F.array("first"))).alias("id"))
+        best = spread.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "id"))), 1, k + 1).alias("best")).withColumnRenamed("vec_id", "first")
+        own = self.members(which).join(best, "first").withColumn("best", F.slice(F.filter("best", lambda b: b.id != F.col("vec_id")), 1, k))
+        return own.select("vec_id", F.col("best.id").alias("ids"), F.col("best.dist").alias("dists"))
+
+    def _points_near(self, queries: DataFrame) -> DataFrame:
+        """(vec_id, ids, dists): the k nearest other points of some of the index's rows.
 
         Work is cut into blocks of a cell's rows times parts of its queries, so that no group grows with the data or with one crowded
         cell: the counts per cell (at most max_cells rows) say into how many.
         """
         s, d = self.s, self.d
-        asked = (self.rows if queries is None else queries).select(F.col("vec_id").alias("query"), F.col("x").alias("q"), F.explode("visit").alias("cell"))
+        asked = queries.select(F.col("vec_id").alias("query"), F.col("x").alias("q"), F.explode("visit").alias("cell"))
         members = {r["cell"]: r["n"] for r in self.rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
         visits = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
         plan = [(c, -(-n // s.block_rows), max(1, -(-visits.get(c, 0) // s.block_queries))) for c, n in members.items()]

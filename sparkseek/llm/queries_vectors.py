@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.llm import quantize as Q
-from sparkseek.runtime import materialize
 
 
 def _index(spark: SparkSession, d: str) -> Q.Index:
@@ -26,10 +25,10 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def p4_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall of the index against brute force, for the vectors whose id is divisible by 50 against all: (queries, true_neighbours, found, recall)."""
     index = _index(spark, d)
-    queries = materialize(index.rows.where("vec_id % 50 = 0"), "queries")
+    asked = F.col("vec_id") % 50 == 0
     flat = lambda df: df.select("vec_id", F.explode("ids").alias("id"))
-    true = flat(Q.exact_neighbours(index.rows, queries, index.s.k, index.d))
-    hit = true.join(flat(index.neighbours(queries)).withColumn("hit", F.lit(1)), ["vec_id", "id"], "left")
+    true = flat(Q.exact_neighbours(index.vectors(), index.vectors(asked), index.s.k, index.d))
+    hit = true.join(flat(index.neighbours(asked)).withColumn("hit", F.lit(1)), ["vec_id", "id"], "left")
     return hit.agg(F.count_distinct("vec_id").alias("queries"), F.count("*").alias("true_neighbours"), F.count("hit").alias("found")).withColumn("recall", F.col("found") / F.col("true_neighbours"))
 
 

@@ -56,7 +56,7 @@ def test_recall_and_exact_distances(spark, settings):
 def test_exact_neighbours_is_exact(spark):
     x = clusters(200)
     index = Q.Index(frame(spark, [(i, [float(v) for v in p]) for i, p in enumerate(x)]), d=8, settings=Q.Settings(words=16, books=1))
-    got = {r["vec_id"]: r["ids"] for r in Q.exact_neighbours(index.rows.repartition(3), index.rows.where("vec_id % 50 = 0"), 5, 8).collect()}
+    got = {r["vec_id"]: r["ids"] for r in Q.exact_neighbours(index.rows.repartition(3), index.vectors(F.col("vec_id") % 50 == 0), 5, 8).collect()}
     want = brute(x, 5)
     assert got == {q: [i for _, i in want[q]] for q in (0, 50, 100, 150)}
     with pytest.raises(ValueError):
@@ -78,5 +78,21 @@ def test_ties_copies_and_few_points(spark):
 def test_queries_subset(spark):
     x = clusters(300)
     index = Q.Index(frame(spark, [(i, [float(v) for v in p]) for i, p in enumerate(x)]), d=8, settings=Q.Settings(words=16, books=2))
-    part = index.neighbours(index.rows.where("vec_id % 50 = 0")).collect()
+    part = index.neighbours(F.col("vec_id") % 50 == 0).collect()
     assert {r["vec_id"] for r in part} == {0, 50, 100, 150, 200, 250}
+
+
+def test_large_group_of_copies(spark):
+    """Copies are spread over, not compared: 400 ids of one point, some near it, ties by id everywhere."""
+    rng = np.random.default_rng(3)
+    points = [(i, [1.0, 1.0]) for i in range(0, 800, 2)] + [(i, [float(v) for v in rng.normal(size=2)]) for i in range(1, 60, 2)] + [(901, [1.0, 1.5]), (903, [1.0, 1.5])]
+    index = Q.Index(frame(spark, points), d=2, settings=Q.Settings(words=8, books=2))
+    assert index.n == 32 and index.members().count() == len(points) == index.vectors().count()
+    got = {r["vec_id"]: list(zip(r["dists"], r["ids"])) for r in index.neighbours().collect()}
+    x, ids = np.array([p for _, p in points], np.float32).astype(float), np.array([i for i, _ in points])
+    assert set(got) == set(ids.tolist())
+    for q, v in got.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        want = sorted((a, i) for a, i in zip(d.tolist(), ids.tolist()) if i != q)[:5]
+        assert [i for _, i in v] == [i for _, i in want] and np.allclose([a for a, _ in v], [a for a, _ in want])
+    assert {r["vec_id"] for r in index.neighbours(F.col("vec_id") < 3).collect()} == {0, 1, 2}

@@ -34,7 +34,7 @@ class Settings:
     books: int = 6  # residual codebooks
     words: int = 256  # codewords of each
     beam: int = 4
-    probes: int = 8  # cells a query visits
+    probes: int = 8  # most cells a query visits
     rerank: int = 64  # candidates of a cell whose distance is computed exactly
     block_rows: int = 4096  # most rows of a cell scored in one task
     block_queries: int = 16_384  # about the most queries of a cell in one task
@@ -80,6 +80,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
 @dataclass(frozen=True)
 class Codebooks:
     coarse: np.ndarray  # cells x d
+    radius: np.ndarray  # of each cell: 99 of 100 sampled members lie within
     fine: np.ndarray  # books x words x d
 
     @classmethod
@@ -87,7 +88,10 @@ class Codebooks:
         """Residual by residual on the sample; the last rounds refit every codebook against the codes that beam search gives."""
         rng = np.random.default_rng(s.seed)
         coarse = kmeans(sample, cells, rng)
-        residual = sample - coarse[_nearest(sample, coarse)[:, 0]]
+        cell = _nearest(sample, coarse)[:, 0]
+        residual = sample - coarse[cell]
+        far = np.sqrt((residual.astype(np.float64) ** 2).sum(1))
+        radius = np.array([np.quantile(far[cell == c], 0.99) if (cell == c).any() else far.max(initial=0.0) for c in range(len(coarse))])
         fine = []
         for _ in range(s.books):
             words = np.zeros((s.words, sample.shape[1]), np.float32)
@@ -96,7 +100,17 @@ class Codebooks:
             words[len(found) :] = found[0]
             fine.append(words)
             residual = residual - words[_nearest(residual, words)[:, 0]]
-        return cls(coarse, np.stack(fine))
+        return cls(coarse, radius, np.stack(fine))
+
+    def visits(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, wanted): the nearest cells of each row, and which of them are worth a visit.
+
+        A point in cell j is at least d_j - r_j away, one in the row's own cell at most d_1 + r_1: where the first exceeds the second, the
+        cell can't have nearer points.
+        """
+        cells = _nearest(x, self.coarse, min(probes, len(self.coarse)))
+        away = np.sqrt(((x[:, None, :] - self.coarse[cells]) ** 2).sum(2))
+        return cells, away - self.radius[cells] <= (away[:, :1] + self.radius[cells[:, :1]])
 
     def encode(self, residual: np.ndarray, beam: int, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """(codes, reconstruction) of residuals: per codebook, each of the ``beam`` best partial sums is extended by every codeword."""
@@ -168,16 +182,15 @@ class Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = shared.value
-            probes = min(s.probes, len(b.coarse))
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = _matrix(batch.column(1), d)
-                visit = _nearest(x, b.coarse, probes)
+                visit, wanted = b.visits(x, s.probes)
                 cell = visit[:, 0]
                 codes, rest = b.encode(x - b.coarse[cell], s.beam)
                 norm = ((b.coarse[cell] + rest) ** 2).sum(1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * probes), pa.array(visit.astype(np.int32).ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(wanted.sum(1)))).astype(np.int32)), pa.array(visit[wanted].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _bytes(x), pa.array(cell.astype(np.int32)), _bytes(codes), pa.array(norm.astype(np.float32)), lists], ["vec_id", "n", "x", "cell", "codes", "norm", "visit"])
 
         return run

@@ -105,12 +105,14 @@ class Codebooks:
     def visits(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
         """(cells, wanted): the nearest cells of each row, and which of them are worth a visit.
 
-        A point in cell j is at least d_j - r_j away, one in the row's own cell at most d_1 + r_1: where the first exceeds the second, the
-        cell can't have nearer points.
+        A point in cell j is at least d_j - r_j away. The k nearest in the row's own cell are usually within its radius r_1, or within d_1
+        for a row far out; where the first exceeds that, the cell is unlikely to have nearer points.
         """
         cells = _nearest(x, self.coarse, min(probes, len(self.coarse)))
         away = np.sqrt(((x[:, None, :] - self.coarse[cells]) ** 2).sum(2))
-        return cells, away - self.radius[cells] <= (away[:, :1] + self.radius[cells[:, :1]])
+        wanted = away - self.radius[cells] <= np.maximum(away[:, :1], self.radius[cells[:, :1]])
+        wanted[:, 0] = True
+        return cells, wanted
 
     def encode(self, residual: np.ndarray, beam: int, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """(codes, reconstruction) of residuals: per codebook, each of the ``beam`` best partial sums is extended by every codeword."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -393,12 +392,13 @@ def export_jsonl(spark, d):
 @_query("select count(*) records, count(distinct event_id) distinct_records, min(event_id) first, max(event_id) last, 0::bigint wrong from events")
 def incremental_equals_batch(spark, d):
     """Events as a JSONL file that grows in three steps, a record cut in two between them: streamed in, then compared with one-shot reading."""
-    from sparkseek.runtime import fresh_path
+    from sparkseek.runtime import fresh_path, local_path
     from sparkseek.sources.tail import read_lines
     from sparkseek.streaming.ingest import ingest
 
-    base = fresh_path(spark, "ingest")
-    folder = base[len("file://") :] if base.startswith("file://") else tempfile.mkdtemp()
+    folder = local_path(spark, fresh_path(spark, "ingest"))
+    if folder is None:
+        raise ValueError("a file that grows needs a shared folder with appends")
     os.makedirs(folder, exist_ok=True)
     path = f"{folder}/events.jsonl"
     lines = _table(spark, d, "events").select(F.to_json(F.struct("event_id", "event_type", "value")).alias("value")).orderBy("event_id")

@@ -29,7 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sparkseek/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. On a file system that the driver sees as such it is removed when the driver ends; elsewhere
+    the folder's own clean-up applies."""
+    path = f"{shared_dir(spark)}/sparkseek/{name}-{uuid.uuid4().hex}"
+    local = local_path(spark, path)
+    if local:
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+    return path
+
+
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path as the driver's file system has it; None on another file system."""
+    fs, p = hadoop_path(spark, path)
+    return p.toUri().getPath() if fs.getUri().getScheme() == "file" else None
 
 
 _shipped: set[str] = set()

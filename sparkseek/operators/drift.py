@@ -121,9 +121,15 @@ class Drift:
         value = F.coalesce(0.5 * overlap + 0.5 * lengths, F.lit(0.0))
         return seen.withColumn("weight", 0.05 + 0.35 * F.col("place") + 0.3 * F.col("name") + 0.3 * value).select("file_id", "before", "gone", "new", "place", "name", "weight")
 
-    def renames(self) -> DataFrame:
-        """(file_id, gone, new): the matching. Groups are the candidate edges of one pair of files, bounded by the files' own widths."""
+    def renames(self, settled: DataFrame | None = None) -> DataFrame:
+        """(file_id, gone, new): the matching. Groups are the candidate edges of one pair of files, bounded by the files' own widths.
+
+        ``settled`` (file_id, gone, new): renames that stand already; neither of their fields is matched again.
+        """
         edges = self.edges() if self.anchored else self.edges().where(F.col("weight") >= self.least)
+        if settled is not None:
+            for end in ("gone", "new"):
+                edges = edges.join(broadcast_if_small(settled.select("file_id", end)), ["file_id", end], "left_anti")
         matched = edges.select("file_id", "gone", "new", "weight").groupBy("file_id").applyInPandas(_match_group, "file_id long, gone string, new string")
         return materialize(matched, "renames")
 
@@ -158,16 +164,19 @@ def _in_one_file(catalog: DataFrame, edges: list[tuple[int, str, str]]) -> set[t
     return {(r["a"], r["b"]) for r in first.join(candidates, "a").join(second, ["file_id", "b"], "left_semi").select("a", "b").distinct().collect()}
 
 
-def canonical_names(catalog: DataFrame, renames: DataFrame) -> dict[str, list[str]]:
+def canonical_names(catalog: DataFrame, renames: DataFrame, certain: DataFrame | None = None) -> dict[str, list[str]]:
     """canonical name -> its names, most used first. Names that renames connect are one column, unless a file has both.
 
-    Works on distinct names, not on files: their number is a property of the schemas; above MAX_NAME_PAIRS it raises.
+    The renames of ``certain`` connect first, so that none of ``renames`` stands in their way. Works on distinct names, not on files: their number is a property of the schemas; above MAX_NAME_PAIRS it raises.
     """
     uses = {r["field_name"]: r["n"] for r in catalog.groupBy("field_name").agg(F.count("*").alias("n")).limit(MAX_NAME_PAIRS + 1).collect()}
-    pairs = renames.groupBy("gone", "new").agg(F.count("*").alias("n")).limit(MAX_NAME_PAIRS + 1).collect()
+    every = renames.select("gone", "new", F.lit(False).alias("sure"))
+    if certain is not None:
+        every = every.union(certain.select("gone", "new", F.lit(True)))
+    pairs = every.groupBy("gone", "new").agg(F.max("sure").alias("sure"), F.count("*").alias("n")).limit(MAX_NAME_PAIRS + 1).collect()
     if max(len(uses), len(pairs)) > MAX_NAME_PAIRS:
         raise ValueError(f"more than {MAX_NAME_PAIRS} distinct field names or renames: not one table")
-    ordered = sorted(((-r["n"], *sorted((r["gone"], r["new"]))) for r in pairs))
+    ordered = [(n, a, b) for _, n, a, b in sorted((not r["sure"], -r["n"], *sorted((r["gone"], r["new"]))) for r in pairs)]
     together = _in_one_file(catalog, ordered)
     group = {n: {n} for n in uses}
     for _, a, b in ordered:

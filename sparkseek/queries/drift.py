@@ -26,10 +26,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return D.Drift(catalog, versions, _values(permits), anchored=True).changes().select("file_id", "field_name", "drift")
 
 
+def unified_names(catalog: DataFrame, versions: DataFrame, permits: DataFrame) -> dict[str, list[str]]:
+    """canonical name -> its names: the renames of ``p2_found`` for certain (each has one partner at most, so values can't change them),
+    and what content matches among the fields they leave."""
+    certain = D.Drift(catalog, versions, anchored=True).renames()
+    return D.canonical_names(catalog, D.Drift(catalog, versions, _values(permits), anchored=False, least=0.6).renames(certain), certain)
+
+
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     """All records as one consistent table: each record once (rows delivered twice: the first arrival), renamed fields in one column."""
     catalog, versions, permits = _inputs(spark, d)
-    names = D.canonical_names(catalog, D.Drift(catalog, versions, _values(permits), anchored=False, least=0.6).renames())
+    names = unified_names(catalog, versions, permits)
     of = {n: c for c, all_names in names.items() for n in all_names}
     kinds = catalog.select("field_name", F.explode("types").alias("t")).distinct().collect()
     types: dict[str, set] = {}

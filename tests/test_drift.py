@@ -1,10 +1,12 @@
 import itertools
 import random
 
+import helpers
 from pyspark.sql import functions as F
 
 from sparkseek.functions import variants as V
 from sparkseek.operators import drift as D
+from sparkseek.queries import drift as queries
 
 TYPES = [(0, "String", "str"), (3, "Float64", "num"), (7, "Null", "nil"), (10, "Unigram", "g1"), (4, "Object", "obj")]
 
@@ -85,3 +87,37 @@ def test_canonical_names(spark):
     files = {1: [("a", "String")], 2: [("b", "String")], 3: [("b", "String"), ("c", "String")]}
     renames = spark.createDataFrame([(2, "a", "b"), (3, "a", "c")], "file_id long, gone string, new string")
     assert D.canonical_names(catalog(spark, files), renames) == {"b": ["b", "a"], "c": ["c"]}
+
+
+def test_certain_renames_come_first(spark):
+    files = {1: [("a", "String")], 2: [("b", "String"), ("x", "String")], 3: [("c", "String"), ("b", "String")]}
+    likely = spark.createDataFrame([(2, "a", "c"), (3, "a", "c"), (3, "x", "c")], "file_id long, gone string, new string")
+    certain = spark.createDataFrame([(2, "a", "b")], "file_id long, gone string, new string")
+    assert D.canonical_names(catalog(spark, files), likely, certain) == {"b": ["b", "a"], "c": ["c", "x"]}
+
+
+def test_renames_leave_settled_fields(spark):
+    files = {1: [("a", "String"), ("k", "Float64"), ("c", "String")], 2: [("a_new", "String"), ("k", "Float64"), ("c_new", "String")]}
+    versions = spark.createDataFrame([(1, "s", 1), (2, "s", 2)], "file_id long, series string, seq int")
+    settled = spark.createDataFrame([(2, "a", "a_new")], "file_id long, gone string, new string")
+    got = D.Drift(catalog(spark, files), versions, anchored=False, least=0.0).renames(settled).collect()
+    assert [tuple(r) for r in got] == [(2, "c", "c_new")]
+
+
+def test_anchored_rename_with_nothing_alike_shares_a_column(spark):
+    files = {1: [("id", "Float64"), ("sqft", "String"), ("z", "Float64")], 2: [("id", "Float64"), ("area", "String"), ("z", "Float64")]}
+    lines = [(f, '{"id":%d,"%s":"%s","z":1}' % (i, n, i * m)) for f, n, m in ((1, "sqft", 7), (2, "area", 1000003)) for i in range(1, 20)]
+    permits = V.with_variant(spark.createDataFrame(lines, "file_id long, j string"), "j", "v")
+    versions = spark.createDataFrame([(1, "s", 1), (2, "s", 2)], "file_id long, series string, seq int")
+    assert queries.unified_names(catalog(spark, files), versions, permits)["area"] == ["area", "sqft"]
+
+
+def test_every_rename_found_shares_a_column(spark):
+    c, versions, permits = queries._inputs(spark, helpers.DATA.replace("sf0.001", "sf0.01"))
+    found = {(r["gone"], r["new"]) for r in D.Drift(c, versions, queries._values(permits), anchored=True).renames().collect()}
+    in_file = {}
+    for r in c.select("file_id", "field_name").collect():
+        in_file.setdefault(r["file_id"], set()).add(r["field_name"])
+    of = {n: k for k, all_names in queries.unified_names(c, versions, permits).items() for n in all_names}
+    apart = [p for p in found if not any(set(p) <= names for names in in_file.values())]
+    assert apart and [p for p in apart if of[p[0]] != of[p[1]]] == []

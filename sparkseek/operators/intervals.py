@@ -8,6 +8,10 @@ and is repeated in full, and a run that committed is never repeated.
 
 from __future__ import annotations
 
+import datetime as dt
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,21 +94,51 @@ def pending(records: DataFrame, ledger: DataFrame, key: str, position: str, revi
     return rows.join(broadcast_if_small(per_key), F.col("_k") == F.col("_key"), "left").where(~F.coalesce(done, F.lit(False))).select(F.col("_k").alias(key), F.col("_p").alias(position)).distinct()
 
 
+def _latest(pieces: pa.Table) -> pa.Table:
+    """Overlapping intervals of one key as disjoint ones: every position has the latest as_of of those that cover it (null is the latest)."""
+    rows = sorted(pieces.select(["lo", "hi", "as_of"]).to_pylist(), key=lambda r: r["lo"])
+    cuts = sorted({r["lo"] for r in rows} | {r["hi"] for r in rows})
+    open_, out, i = [], [], 0
+    for a, b in zip(cuts, cuts[1:]):
+        while i < len(rows) and rows[i]["lo"] <= a:
+            age = dt.datetime.max - (rows[i]["as_of"] or dt.datetime.max)
+            heapq.heappush(open_, (age, rows[i]["hi"], i))
+            i += 1
+        while open_ and open_[0][1] <= a:
+            heapq.heappop(open_)
+        if not open_:
+            continue
+        seen = rows[open_[0][2]]["as_of"]
+        if out and out[-1][1] == a and out[-1][2] == seen:
+            out[-1][1] = b
+        else:
+            out.append([a, b, seen])
+    key = pieces.column("key")[0].as_py()
+    schema = pa.schema([("key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("as_of", pa.timestamp("us"))])
+    return pa.table([[key] * len(out), *([o[j] for o in out] for j in range(3))], schema=schema)
+
+
 def merge_intervals(intervals: DataFrame) -> DataFrame:
-    """Disjoint, sorted intervals covering the same positions: touching and overlapping ones of a key become one; as_of is the earliest.
+    """Disjoint intervals covering the same positions: touching and overlapping ones of a key and an as_of become one.
 
-    Runs twice: first inside blocks of positions, so that a hot key's many small intervals are joined in parallel, then over what is left.
+    Where intervals of different as_of overlap, the latest holds, as in ``pending``. Runs twice: first inside blocks of positions, so that
+    a hot key's many small intervals are joined in parallel, then over what is left; only intervals that still overlap go to Python.
     """
 
     def once(df: DataFrame, *by: str) -> DataFrame:
         before = Window.partitionBy(*by).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
         order = Window.partitionBy(*by).orderBy("lo", "hi")
         starts = df.withColumn("new", F.when(F.col("lo") <= F.max("hi").over(before), 0).otherwise(1))
-        return starts.withColumn("island", F.sum("new").over(order)).groupBy(*by, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("as_of").alias("as_of")).drop("island")
+        return starts.withColumn("island", F.sum("new").over(order)).groupBy(*by, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
     rows = intervals.where("hi > lo").select("key", "lo", "hi", "as_of")
-    local = once(rows.withColumn("block", F.shiftright("lo", BLOCK_BITS)), "key", "block").drop("block")
-    return once(local, "key").select("key", "lo", "hi", "as_of")
+    local = once(rows.withColumn("block", F.shiftright("lo", BLOCK_BITS)), "key", "as_of", "block").drop("block")
+    order = Window.partitionBy("key").orderBy("lo", "hi")
+    starts = once(local, "key", "as_of").withColumn("new", F.when(F.col("lo") < F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
+    islands = starts.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.count("*").over(Window.partitionBy("key", "island")))
+    alone = islands.where("n = 1").select("key", "lo", "hi", "as_of")
+    overlapping = islands.where("n > 1").select("key", "island", "lo", "hi", "as_of")
+    return alone.unionByName(overlapping.groupBy("key", "island").applyInArrow(_latest, LEDGER_SCHEMA))
 
 
 def subtract_intervals(available: DataFrame, processed: DataFrame) -> DataFrame:
@@ -132,8 +166,9 @@ class LedgerStore:
     is atomic on HDFS-like stores, so of two runs with the same number only one commits; a run that broke off is overwritten by the next.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, initial: DataFrame | None = None):
+        """``initial``: the (disjoint) ledger of what was processed before the store began; the first commit takes it in."""
+        self.spark, self.path, self.initial = spark, path.rstrip("/"), initial
 
     def version(self) -> int:
         """The last committed run, 0 if none."""
@@ -142,7 +177,9 @@ class LedgerStore:
 
     def ledger(self) -> DataFrame:
         v = self.version()
-        return self.spark.read.schema(LEDGER_SCHEMA).parquet(f"{self.path}/ledger/{v}") if v else self.spark.createDataFrame([], LEDGER_SCHEMA)
+        if v:
+            return self.spark.read.schema(LEDGER_SCHEMA).parquet(f"{self.path}/ledger/{v}")
+        return self.spark.createDataFrame([], LEDGER_SCHEMA) if self.initial is None else self.initial.select("key", "lo", "hi", "as_of")
 
     def output(self) -> DataFrame | None:
         """All committed output; None before the first commit."""

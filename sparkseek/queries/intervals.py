@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.operators import intervals as I
-from sparkseek.runtime import fresh_path
+from sparkseek.runtime import fresh_path, materialize
 
 
 def _pending(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -19,17 +19,30 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _pending(spark, d)[2]
 
 
-def p6_commit(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs over a ledger store: the first breaks off before its commit and is repeated; then nothing is left. One row per outcome."""
+def commit_pending(spark: SparkSession, d: str) -> tuple[I.LedgerStore, int]:
+    """The store after a run that breaks off before its commit and is repeated, and how many records are pending against its ledger then.
+
+    The ledger of the run log is committed with the new intervals, so that the store alone says what is processed.
+    """
     trips, ledger, todo = _pending(spark, d)
-    store = I.LedgerStore(spark, fresh_path(spark, "ledger"))
+    ledger, todo = materialize(ledger, "log_ledger"), materialize(todo, "todo")  # read several times
+    store = I.LedgerStore(spark, fresh_path(spark, "ledger"), ledger)
     size = trips.groupBy("file_id", "rec_offset").agg(F.max("rec_length").alias("len"), F.max("written_at").alias("seen"))
-    read = size.join(todo, ["file_id", "rec_offset"]).select(F.col("file_id").alias("key"), F.col("rec_offset").alias("lo"), (F.col("rec_offset") + F.col("len") + 1).alias("hi"), F.col("seen").alias("as_of"))
+    end = F.col("rec_offset") + F.coalesce("len", F.lit(0)) + 1
+    read = size.join(todo, ["file_id", "rec_offset"]).select(F.col("file_id").alias("key"), F.col("rec_offset").alias("lo"), end.alias("hi"), F.col("seen").alias("as_of"))
     try:
         store.commit(read, todo, fail_before_commit=True)
     except RuntimeError:
         pass
     store.commit(read, todo)
+    return store, I.pending(trips, store.ledger(), "file_id", "rec_offset", F.col("revision") > 1, "written_at").count()
+
+
+def p6_commit(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs over a ledger store: the first breaks off before its commit and is repeated; then nothing is left, else it is an error."""
+    store, left = commit_pending(spark, d)
+    if left:
+        raise RuntimeError(f"{left} records are still pending after the commit")
     seen = store.output()
     return seen.agg(F.count("*").alias("records"), F.count_distinct("file_id").alias("files")).withColumn("runs", F.lit(store.version()))
 

@@ -1,10 +1,12 @@
 import datetime as dt
 import random
 
+import helpers
 import pytest
 from pyspark.sql import functions as F
 
 from sparkseek.operators import intervals as I
+from sparkseek.queries.intervals import commit_pending
 
 T0 = dt.datetime(2024, 1, 1)
 LOG = "run_id long, file_id long, read_offset long, entries long, status string, as_of timestamp_ntz, finished_at timestamp_ntz, logged_at timestamp_ntz, key string"
@@ -97,3 +99,23 @@ def test_pending_filters_before_the_shuffle(spark):
     ledger = frame(spark, [(1, 0, 10)])
     plan = I.pending(rec, ledger, "file_id", "rec_offset", F.col("revision") > 1, "written_at")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and plan.index("Exchange hashpartitioning(file_id") < plan.index("BroadcastHashJoin")
+
+
+def test_merge_keeps_each_as_of(spark):
+    rows = [(1, 0, 5, 3), (1, 5, 9, 3), (1, 9, 12, 4), (1, 20, 30, 1), (1, 22, 25, 2), (2, 0, 4, 7), (2, 2, 6, 5), (2, 3, 8, None), (3, 1, 2, None), (3, 2, 4, None)]
+    got = sorted(tuple(r) for r in I.merge_intervals(spark.createDataFrame([(k, a, b, at(h)) for k, a, b, h in rows], I.LEDGER_SCHEMA)).collect())
+    want = [(1, 0, 9, 3), (1, 9, 12, 4), (1, 20, 22, 1), (1, 22, 25, 2), (1, 25, 30, 1), (2, 0, 3, 7), (2, 3, 8, None), (3, 1, 4, None)]
+    assert got == [(k, a, b, at(h)) for k, a, b, h in want]
+
+
+def test_first_commit_takes_in_the_initial_ledger(spark, tmp_path):
+    initial = frame(spark, [(1, 0, 10), (2, 0, I.MAX_POSITION)])
+    store = I.LedgerStore(spark, f"file://{tmp_path}/ledger", initial)
+    store.commit(spark.createDataFrame([(1, 4, 6, at(2)), (1, 10, 12, at(1))], I.LEDGER_SCHEMA), spark.createDataFrame([(1, 4)], "file_id long, rec_offset long"))
+    got = sorted(tuple(r) for r in store.ledger().collect())
+    assert got == [(1, 0, 4, T0), (1, 4, 6, at(2)), (1, 6, 10, T0), (1, 10, 12, at(1)), (2, 0, I.MAX_POSITION, T0)]
+
+
+def test_nothing_is_pending_after_the_commit(spark):
+    store, left = commit_pending(spark, helpers.DATA)
+    assert (left, store.version()) == (0, 1) and store.output().count() > 0

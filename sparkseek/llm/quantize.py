@@ -80,7 +80,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
 @dataclass(frozen=True)
 class Codebooks:
     coarse: np.ndarray  # cells x d
-    radius: np.ndarray  # of each cell: 99 of 100 sampled members lie within
+    radius: np.ndarray  # of each cell: 99 of 100 sampled members lie within; with fewer than two of them, that of the whole sample
     fine: np.ndarray  # books x words x d
 
     @classmethod
@@ -91,7 +91,7 @@ class Codebooks:
         cell = _nearest(sample, coarse)[:, 0]
         residual = sample - coarse[cell]
         far = np.sqrt((residual.astype(np.float64) ** 2).sum(1))
-        radius = np.array([np.quantile(far[cell == c], 0.99) if (cell == c).any() else far.max(initial=0.0) for c in range(len(coarse))])
+        radius = np.array([np.quantile(far[cell == c], 0.99) if (cell == c).sum() > 1 else far.max(initial=0.0) for c in range(len(coarse))])
         fine = []
         for _ in range(s.books):
             words = np.zeros((s.words, sample.shape[1]), np.float32)
@@ -231,12 +231,20 @@ class Index:
     def _points_near(self, queries: DataFrame) -> DataFrame:
         """(vec_id, ids, dists): the k nearest other points of some of the index's rows.
 
-        Work is cut into blocks of a cell's rows times parts of its queries, so that no group grows with the data or with one crowded
+        Rows whose cells hold fewer than k others are searched exactly instead, so many at a time that exact_neighbours takes them. Work is cut into blocks of a cell's rows times parts of its queries, so that no group grows with the data or with one crowded
         cell: the counts per cell (at most max_cells rows) say into how many.
         """
         s, d = self.s, self.d
-        asked = queries.select(F.col("vec_id").alias("query"), F.col("x").alias("q"), F.explode("visit").alias("cell"))
         members = {r["cell"]: r["n"] for r in self.rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        short = materialize(self._short(queries, members), "short")
+        n_short, exact = short.count(), None
+        if n_short:
+            parts = -(-n_short // 50_000)
+            for i in range(parts):
+                found = exact_neighbours(self.rows, short.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i), s.k, d)
+                exact = found if exact is None else exact.unionByName(found)
+            queries = queries.join(broadcast_if_small(short.select("vec_id")), "vec_id", "left_anti")
+        asked = queries.select(F.col("vec_id").alias("query"), F.col("x").alias("q"), F.explode("visit").alias("cell"))
         visits = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
         plan = [(c, -(-n // s.block_rows), max(1, -(-visits.get(c, 0) // s.block_queries))) for c, n in members.items()]
         cells = F.broadcast(self.spark.createDataFrame(plan, "cell int, blocks int, parts int"))
@@ -247,7 +255,25 @@ class Index:
         found = asks.groupBy("q_cell", "q_block", "q_part").cogroup(base.groupBy("cell", "block", "part")).applyInArrow(_scorer(self.books, s, d), "vec_id long, ids array<long>, dists array<double>")
         hits = F.flatten(F.collect_list(F.transform(F.arrays_zip("dists", "ids"), lambda h: F.struct(h.dists.alias("dist"), h.ids.alias("id")))))
         best = found.groupBy("vec_id").agg(F.slice(F.array_sort(hits), 1, s.k).alias("best"))
-        return best.select("vec_id", F.col("best.id").alias("ids"), F.col("best.dist").alias("dists"))
+        near = best.select("vec_id", F.col("best.id").alias("ids"), F.col("best.dist").alias("dists"))
+        return near if exact is None else near.unionByName(exact)
+
+    def _short(self, queries: DataFrame, members: dict[int, int]) -> DataFrame:
+        """(vec_id, x) of the queries whose cells hold fewer than k other points, though the index has as many."""
+        held = np.zeros(max(members, default=0) + self.cells + 1, np.int64)
+        held[list(members)] = list(members.values())
+        shared, least = self.spark.sparkContext.broadcast(held), min(self.s.k + 1, self.n)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    visit = batch.column(2)
+                    upto = np.concatenate(([0], np.cumsum(shared.value[visit.flatten().to_numpy()])))
+                    ends = np.concatenate(([0], np.cumsum(visit.value_lengths().to_numpy())))
+                    few = upto[ends[1:]] - upto[ends[:-1]] < least
+                    yield batch.select([0, 1]).filter(pa.array(few))
+
+        return queries.select("vec_id", "x", "visit").mapInArrow(run, "vec_id long, x binary")
 
 
 def _scorer(shared, s: Settings, d: int):

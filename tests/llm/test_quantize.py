@@ -96,3 +96,22 @@ def test_large_group_of_copies(spark):
         want = sorted((a, i) for a, i in zip(d.tolist(), ids.tolist()) if i != q)[:5]
         assert [i for _, i in v] == [i for _, i in want] and np.allclose([a for a, _ in v], [a for a, _ in want])
     assert {r["vec_id"] for r in index.neighbours(F.col("vec_id") < 3).collect()} == {0, 1, 2}
+
+
+def test_isolated_points_have_all_their_neighbours(spark):
+    """Far points that are alone in their cells: none comes out with fewer than k neighbours, and theirs are the true ones."""
+    far = np.eye(8, dtype=np.float32)[np.arange(24) % 8] * (1000.0 + 700 * np.arange(24, dtype=np.float32))[:, None]
+    x = np.concatenate((clusters(96), far))
+    index = Q.Index(frame(spark, [(i, [float(v) for v in p]) for i, p in enumerate(x)]), d=8, settings=Q.Settings(cell_rows=3, words=16, books=2, probes=2))
+    got = {r["vec_id"]: r["ids"] for r in index.neighbours().collect()}
+    assert set(got) == set(range(120)) and all(len(v) == 5 for v in got.values())
+    members = {r["cell"]: r["n"] for r in index.rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    short = {r["vec_id"] for r in index._short(index.rows, members).collect()}
+    want = brute(x, 5)
+    assert short and all(got[q] == [i for _, i in want[q]] for q in short)
+
+
+def test_radius_of_a_cell_with_one_sampled_member_is_unknown():
+    x = np.concatenate((clusters(50), np.full((1, 8), 1e4, np.float32)))
+    b = Q.Codebooks.train(x, 40, Q.Settings(books=1, words=8))
+    assert (np.bincount(Q._nearest(x, b.coarse)[:, 0], minlength=40) == 1).any() and (b.radius > 0).all()

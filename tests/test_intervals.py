@@ -85,8 +85,7 @@ def test_store_survives_a_broken_run(spark, tmp_path):
     store = I.LedgerStore(spark, f"file://{tmp_path}/ledger")
     out = spark.createDataFrame([(1, 5)], "file_id long, rec_offset long")
     assert store.version() == 0 and store.ledger().count() == 0 and store.output() is None
-    with pytest.raises(RuntimeError):
-        store.commit(frame(spark, [(1, 0, 10)]), out, fail_before_commit=True)
+    store.prepare(frame(spark, [(1, 0, 10)]), out)  # and then it breaks off
     assert store.version() == 0 and store.output() is None
     assert store.commit(frame(spark, [(1, 0, 10)]), out) == 1
     assert store.commit(frame(spark, [(1, 10, 12), (1, 4, 6), (2, 0, 1)]), out) == 2
@@ -98,7 +97,7 @@ def test_pending_filters_before_the_shuffle(spark):
     rec = spark.createDataFrame([(1, 5, 1, T0, "x", 1)], REC)
     ledger = frame(spark, [(1, 0, 10)])
     plan = I.pending(rec, ledger, "file_id", "rec_offset", F.col("revision") > 1, "written_at")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and plan.index("Exchange hashpartitioning(file_id") < plan.index("BroadcastHashJoin")
+    assert "BroadcastHashJoin" in plan and plan.index("Exchange hashpartitioning(key") < plan.index("BroadcastHashJoin")
 
 
 def test_merge_keeps_each_as_of(spark):
@@ -117,5 +116,39 @@ def test_first_commit_takes_in_the_initial_ledger(spark, tmp_path):
 
 
 def test_nothing_is_pending_after_the_commit(spark):
-    store, left = commit_pending(spark, helpers.DATA)
-    assert (left, store.version()) == (0, 1) and store.output().count() > 0
+    store, lost, left = commit_pending(spark, helpers.DATA)
+    assert (left, lost, store.version()) == (0, 1, 1) and store.output().count() > 0
+
+
+def test_of_two_racing_runs_one_commits(spark, tmp_path):
+    store = I.LedgerStore(spark, f"file://{tmp_path}/ledger")
+    out = lambda i: spark.createDataFrame([(i, i)], "file_id long, rec_offset long")
+    a, b = store.prepare(frame(spark, [(1, 0, 5)]), out(1)), store.prepare(frame(spark, [(1, 0, 9)]), out(2))
+    assert b.commit() == 1
+    with pytest.raises(I.LostRace):
+        a.commit()
+    assert [tuple(r)[:3] for r in store.ledger().collect()] == [(1, 0, 9)] and [tuple(r) for r in store.output().collect()] == [(2, 2)]
+
+
+def test_late_records_are_in_a_gap(spark, tmp_path):
+    store = I.LedgerStore(spark, f"file://{tmp_path}/ledger")
+    store.commit(frame(spark, [(1, 0, 10), (1, 20, 30)]), spark.createDataFrame([(1, 0)], "file_id long, rec_offset long"))
+    rec = spark.createDataFrame([(1, p, 1, T0, "x", 1) for p in (0, 9, 10, 15, 20, 30)] + [(2, 3, 1, T0, "x", 1)], REC)
+    todo = I.pending(rec, store.ledger(), "file_id", "rec_offset", F.col("revision") > 1, "written_at")
+    assert sorted(tuple(r) for r in todo.collect()) == [(1, 10), (1, 15), (1, 30), (2, 3)]
+
+
+def test_intervals_against_sets_of_positions(spark):
+    """Random intervals over many blocks, in both operators, against plain sets."""
+    rng = random.Random(9)
+    unit = 1 << (I.LEAST_BITS - 2)
+    for _ in range(3):
+        draw = lambda n: [(k, a * unit, (a + rng.randint(1, 9)) * unit) for k, a in ((rng.randrange(3), rng.randrange(60)) for _ in range(n))]
+        cells = lambda rows: {(k, i) for k, a, b in rows for i in range(a // unit, b // unit)}
+        have, done = I.merge_intervals(frame(spark, draw(25))), I.merge_intervals(frame(spark, draw(12)))
+        plain = lambda df: [tuple(r)[:3] for r in df.collect()]
+        a, b = plain(have), plain(done)
+        assert sum(y - x for _, x, y in a) == unit * len(cells(a))
+        got = [tuple(r)[:3] for r in I.subtract_intervals(have, done).select("key", "lo", "hi").collect()]
+        assert cells(got) == cells(a) - cells(b) and sum(y - x for _, x, y in got) == unit * len(cells(got))
+        assert not {(k, x) for k, x, _ in a} & {(k, y) for k, _, y in a}  # none touch

@@ -61,14 +61,36 @@ def read_as(value: Column, kind: str) -> Column:
     return F.when(right, F.try_variant_get(value, "$", kind))
 
 
-def flatten(df: DataFrame, v: str, keep: list[str], depth: int = 4) -> DataFrame:
-    """One row per field of each record: (keep..., field, value); nested objects are walked ``depth`` levels down, their parents are rows too.
-
-    One lateral explode per level. Deeper objects stay whole, as the value of their parent.
+def nesting(schema: str) -> int:
+    """Levels of objects in a schema string of ``schema_of_variant``; objects inside arrays don't count. Names may be quoted by backticks."""
+    deepest, open_, i = 0, [], 0
+    while i < len(schema):
+        if schema[i] == "`":
+            i = schema.index("`", i + 1)
+        elif schema.startswith("OBJECT<", i) or schema.startswith("ARRAY<", i):
+            open_.append(schema[i] == "O")
+            i = schema.index("<", i)
+            deepest = max(deepest, len(open_) if all(open_) else 0)
+        elif schema[i] == ">":
+            open_.pop()
+        i += 1
+    return deepest
+
+
+def levels(df: DataFrame, v: str) -> int:
+    """Levels of nested objects in the column, 1 for flat ones: one aggregation."""
+    found = df.agg(F.schema_of_variant_agg(v)).first()[0]
+    return max(1, nesting(found or ""))
+
+
+def flatten(df: DataFrame, v: str, keep: list[str], depth: int | None = None) -> DataFrame:
+    """One row per field of each record: (keep..., field, value); nested objects are walked to the last level, their parents are rows too.
+
+    One lateral explode per level; how many there are is asked of the data first unless ``depth`` says so.
     """
     level = df.select(*keep, F.lit("").alias("_prefix"), F.col(v).alias("_v"))
     out = None
-    for _ in range(depth):
+    for _ in range(levels(df, v) if depth is None else depth):
         rows = level.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer())).where("key is not null").select(*keep, F.concat("_prefix", "key").alias("field"), "value")
         out = rows if out is None else out.unionByName(rows)
         level = rows.where(F.schema_of_variant("value").startswith("OBJECT")).select(*keep, F.concat("field", F.lit(".")).alias("_prefix"), F.col("value").alias("_v"))

@@ -4,7 +4,7 @@
 ``versions``  (file_id, series, seq).
 
 Each file is compared with the one before it in its series. Fields whose names are in both are the same field; among the others, gone
-and new names are matched: an edge needs equal types, its weight comes from value sketches, name similarity and place, and a maximum
+and new names are matched: an edge needs equal types, its weight comes from value profiles, name similarity and place, and a maximum
 weight bipartite matching per pair of files picks the renames.
 """
 
@@ -21,8 +21,12 @@ from sparkseek.runtime import broadcast_if_small, materialize
 
 #: Types that say nothing about a field's content (fixed values).
 UNTYPED = ("Null", "Unigram", "Bigram", "Trigram")
-SKETCH_LOG_ENTRIES = 6
-MAX_NAME_PAIRS = 20_000
+SKETCH_LOG_ENTRIES = 9
+MAX_NAMES = 200_000
+#: Weights of an edge (they add up to 1 with BASE): the smallest weight counts as sure of nothing but the types.
+BASE, PLACE, NAME, VALUE = 0.05, 0.35, 0.3, 0.3
+#: Matched edges below it are no renames: place alone with a trace of likeness suffices, a likeness of name or values alone does not.
+LEAST = 0.5
 
 
 def type_catalog(index_meta: DataFrame, field_types: DataFrame) -> DataFrame:
@@ -77,14 +81,30 @@ def _match_group(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file_id": [edges["file_id"].iloc[0]] * len(pairs), "gone": [a for a, _ in pairs], "new": [b for _, b in pairs]})
 
 
+def _profiles(values: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(file_id, field, sketch, shapes, len, log): distinct values and distinct shapes (digits and letters of each value without regard to
+    which) as theta sketches, mean length, mean logarithm of numbers."""
+    text = F.lower(F.to_json("value"))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\d", "9"), r"\p{L}", "a"), r"(.)\1{2,}", "$1$1+")
+    number = V.read_as(F.col("value"), "double")
+    rows = values.join(broadcast_if_small(wanted), ["file_id", "field"]).where(~F.is_variant_null("value"))
+    return rows.groupBy("file_id", "field").agg(
+        F.theta_sketch_agg(text, F.lit(SKETCH_LOG_ENTRIES)).alias("sketch"),
+        F.theta_sketch_agg(shape, F.lit(SKETCH_LOG_ENTRIES)).alias("shapes"),
+        F.avg(F.length(text)).alias("len"),
+        F.avg(F.log1p(F.abs(number))).alias("log"),
+    )
+
+
 class Drift:
     """The comparison of every file with the one before it.
 
-    ``values`` (file_id, field, value VARIANT), if given, adds value sketches to the weights. ``anchored``: an edge also needs the same
-    two neighbours (or file edges), both present in both files; without it place only adds weight, and an edge needs ``least`` in all.
+    ``values`` (file_id, field, value VARIANT), if given, adds value profiles to the weights. ``stated`` edges are those between the same
+    two neighbours (or file edges), both present in both files. ``anchored``: each of them outweighs any two others (a field has at most
+    one), and only they are renames; without it place is one weight among others, and a rename needs ``least`` in all.
     """
 
-    def __init__(self, catalog: DataFrame, versions: DataFrame, values: DataFrame | None = None, anchored: bool = True, least: float = 0.6):
+    def __init__(self, catalog: DataFrame, versions: DataFrame, values: DataFrame | None = None, anchored: bool = True, least: float = LEAST):
         self.values, self.anchored, self.least = values, anchored, least
         place = Window.partitionBy("file_id").orderBy("field_pos", "field_name")
         fields = catalog.withColumns({"left": F.lag("field_name").over(place), "right": F.lead("field_name").over(place)})
@@ -95,43 +115,53 @@ class Drift:
         back = steps.join(fields.withColumnRenamed("file_id", "before"), "before").select("file_id", "field_name", F.struct("types", "left", "right").alias("was"))
         self.compared = materialize(here.join(back, ["file_id", "field_name"], "full"), "compared")  # read several times
         self.names = steps.join(names, "file_id", "left").join(names.select(F.col("file_id").alias("before"), F.col("names").alias("old_names")), "before", "left")
+        self._edges: DataFrame | None = None
 
     def edges(self) -> DataFrame:
-        """(file_id, before, gone, new, weight)."""
+        """(file_id, before, gone, new, stated, weight) of all pairs of a gone and a new field with the same types."""
+        if self._edges is None:
+            self._edges = materialize(self._weighed(), "edges")
+        return self._edges
+
+    def _weighed(self) -> DataFrame:
         one = self.compared.where("was is null or now is null")
         gone = one.where("now is null").select("file_id", F.col("field_name").alias("gone"), F.col("was.types").alias("types"), F.col("was.left").alias("gl"), F.col("was.right").alias("gr"))
         new = one.where("was is null").select("file_id", F.col("field_name").alias("new"), F.col("now.types").alias("types"), F.col("now.left").alias("nl"), F.col("now.right").alias("nr"))
         pairs = gone.join(new, ["file_id", "types"]).join(self.names, "file_id")
         both = lambda c: F.col(c).isNull() | (F.array_contains("names", F.col(c)) & F.array_contains("old_names", F.col(c)))
         left, right = F.col("gl").eqNullSafe(F.col("nl")) & both("gl"), F.col("gr").eqNullSafe(F.col("nr")) & both("gr")
-        if self.anchored:
-            pairs = pairs.where(left & right)
-        pairs = pairs.withColumn("place", (left.cast("double") + right.cast("double")) / 2).withColumn("name", _names_similar(F.col("gone"), F.col("new"))).select("file_id", "before", "gone", "new", "place", "name")
-        pairs = materialize(pairs, "pairs")
+        pairs = pairs.select("file_id", "before", "gone", "new", (left & right).alias("stated"), ((left.cast("double") + right.cast("double")) / 2).alias("place"), _names_similar(F.col("gone"), F.col("new")).alias("name"))
         if self.values is None:
-            return pairs.withColumn("weight", 0.05 + 0.5 * F.col("place") + 0.45 * F.col("name"))
-        wanted = pairs.select(F.col("before").alias("file_id"), F.col("gone").alias("field")).union(pairs.select("file_id", F.col("new").alias("field"))).distinct()
-        text = F.lower(F.to_json("value"))
-        sketches = self.values.join(broadcast_if_small(wanted), ["file_id", "field"]).where(~F.is_variant_null("value")).groupBy("file_id", "field").agg(F.theta_sketch_agg(text, F.lit(SKETCH_LOG_ENTRIES)).alias("sketch"), F.avg(F.length(text)).alias("len"))
-        of = lambda p, f, k: sketches.select(F.col("file_id").alias(f), F.col("field").alias(k), F.col("sketch").alias(p + "_sketch"), F.col("len").alias(p + "_len"))
-        seen = pairs.join(of("g", "before", "gone"), ["before", "gone"], "left").join(of("n", "file_id", "new"), ["file_id", "new"], "left")
-        size = lambda c: F.theta_sketch_estimate(c)
-        overlap = size(F.theta_intersection("g_sketch", "n_sketch")) / F.greatest(F.least(size("g_sketch"), size("n_sketch")), F.lit(1))
-        lengths = F.least("g_len", "n_len") / F.greatest("g_len", "n_len", F.lit(1.0))
-        value = F.coalesce(0.5 * overlap + 0.5 * lengths, F.lit(0.0))
-        return seen.withColumn("weight", 0.05 + 0.35 * F.col("place") + 0.3 * F.col("name") + 0.3 * value).select("file_id", "before", "gone", "new", "place", "name", "weight")
-
-    def renames(self, settled: DataFrame | None = None) -> DataFrame:
-        """(file_id, gone, new): the matching. Groups are the candidate edges of one pair of files, bounded by the files' own widths.
+            value = F.lit(0.0)
+        else:
+            pairs = materialize(pairs, "pairs")
+            wanted = pairs.select(F.col("before").alias("file_id"), F.col("gone").alias("field")).union(pairs.select("file_id", F.col("new").alias("field"))).distinct()
+            profiles = materialize(_profiles(self.values, wanted), "profiles")
+            of = lambda p, f, k: profiles.select(F.col("file_id").alias(f), F.col("field").alias(k), *(F.col(c).alias(f"{p}_{c}") for c in ("sketch", "shapes", "len", "log")))
+            pairs = pairs.join(broadcast_if_small(of("g", "before", "gone")), ["before", "gone"], "left").join(broadcast_if_small(of("n", "file_id", "new")), ["file_id", "new"], "left")
+            size = F.theta_sketch_estimate
+            shared = lambda c: size(F.theta_intersection(f"g_{c}", f"n_{c}")) / F.greatest(F.least(size(f"g_{c}"), size(f"n_{c}")), F.lit(1))
+            near = lambda c: F.least(f"g_{c}", f"n_{c}") / F.greatest(f"g_{c}", f"n_{c}", F.lit(1e-9))
+            value = F.coalesce((shared("sketch") + shared("shapes") + F.coalesce((near("len") + near("log")) / 2, near("len"))) / 3, F.lit(0.0))
+        weight = BASE + PLACE * F.col("place") + NAME * F.col("name") + VALUE * value
+        return pairs.select("file_id", "before", "gone", "new", "stated", weight.alias("weight"))
+
+    def matched(self, settled: DataFrame | None = None) -> DataFrame:
+        """(file_id, gone, new, stated, weight): the matching. Groups are the candidate edges of one pair of files, bounded by the files' own widths.
 
         ``settled`` (file_id, gone, new): renames that stand already; neither of their fields is matched again.
         """
-        edges = self.edges() if self.anchored else self.edges().where(F.col("weight") >= self.least)
+        edges = self.edges()
         if settled is not None:
             for end in ("gone", "new"):
                 edges = edges.join(broadcast_if_small(settled.select("file_id", end)), ["file_id", end], "left_anti")
-        matched = edges.select("file_id", "gone", "new", "weight").groupBy("file_id").applyInPandas(_match_group, "file_id long, gone string, new string")
-        return materialize(matched, "renames")
+        rank = F.col("weight") + F.when(F.col("stated"), F.lit(2.0 if self.anchored else 0.0)).otherwise(0.0)
+        pairs = edges.select("file_id", "gone", "new", rank.alias("weight")).groupBy("file_id").applyInPandas(_match_group, "file_id long, gone string, new string")
+        return pairs.join(edges, ["file_id", "gone", "new"]).select("file_id", "gone", "new", "stated", "weight")
+
+    def renames(self, settled: DataFrame | None = None) -> DataFrame:
+        """(file_id, gone, new): matched edges that are stated (``anchored``), or weigh at least ``least``."""
+        return materialize(self.matched(settled).where("stated" if self.anchored else F.col("weight") >= self.least).select("file_id", "gone", "new"), "renames")
 
     def changes(self) -> DataFrame:
         """(file_id, field_name, drift, old_name): retyped, renamed, added and removed fields of every file that has one before it."""
@@ -147,45 +177,47 @@ class Drift:
         return changed.join(broadcast_if_small(new), ["file_id", "field_name"], "left").join(broadcast_if_small(old), ["file_id", "field_name"], "left").withColumn("drift", kind).where("drift is not null").select("file_id", "field_name", "drift", "old_name")
 
 
-def _in_one_file(catalog: DataFrame, edges: list[tuple[int, str, str]]) -> set[tuple[str, str]]:
-    """Of the name pairs that ``edges`` may connect, those that occur side by side in some file."""
-    reach: dict[str, set[str]] = {}
-    for _, a, b in edges:
-        joint = reach.get(a, {a}) | reach.get(b, {b})
-        for n in joint:
-            reach[n] = joint
-    pairs = sorted({(a, b) for g in {id(g): sorted(g) for g in reach.values()}.values() for i, a in enumerate(g) for b in g[i + 1 :]})
-    if len(pairs) > MAX_NAME_PAIRS:
-        raise ValueError(f"more than {MAX_NAME_PAIRS} pairs of names to tell apart")
-    if not pairs:
-        return set()
-    candidates = F.broadcast(catalog.sparkSession.createDataFrame(pairs, "a string, b string"))
-    first, second = catalog.select("file_id", F.col("field_name").alias("a")), catalog.select("file_id", F.col("field_name").alias("b"))
-    return {(r["a"], r["b"]) for r in first.join(candidates, "a").join(second, ["file_id", "b"], "left_semi").select("a", "b").distinct().collect()}
+def _together(catalog: DataFrame, names: set[str]) -> dict[str, set[str]]:
+    """Of ``names``, those that occur with each one in some file. Files repeat few layouts: what reaches the driver is each distinct set of names once."""
+    wanted = F.broadcast(catalog.sparkSession.createDataFrame([(n,) for n in sorted(names)], "field_name string"))  # at most MAX_NAMES
+    layouts = catalog.join(wanted, "field_name").groupBy("file_id").agg(F.array_sort(F.collect_set("field_name")).alias("names")).select("names").distinct()
+    beside: dict[str, set[str]] = {}
+    for r in layouts.toLocalIterator():
+        for n in r["names"]:
+            beside.setdefault(n, set()).update(r["names"])
+    for n, others in beside.items():
+        others.discard(n)
+    return beside
 
 
 def canonical_names(catalog: DataFrame, renames: DataFrame, certain: DataFrame | None = None) -> dict[str, list[str]]:
     """canonical name -> its names, most used first. Names that renames connect are one column, unless a file has both.
 
-    The renames of ``certain`` connect first, so that none of ``renames`` stands in their way. Works on distinct names, not on files: their number is a property of the schemas; above MAX_NAME_PAIRS it raises.
+    The renames of ``certain`` connect first, so that none of ``renames`` stands in their way. Works on distinct names, not on files: a
+    table has one column for each, so a schema with more than MAX_NAMES of them is an error.
     """
-    uses = {r["field_name"]: r["n"] for r in catalog.groupBy("field_name").agg(F.count("*").alias("n")).limit(MAX_NAME_PAIRS + 1).collect()}
+    uses = {r["field_name"]: r["n"] for r in catalog.groupBy("field_name").agg(F.count("*").alias("n")).limit(MAX_NAMES + 1).collect()}
+    if len(uses) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} distinct field names: not one table")
     every = renames.select("gone", "new", F.lit(False).alias("sure"))
     if certain is not None:
         every = every.union(certain.select("gone", "new", F.lit(True)))
-    pairs = every.groupBy("gone", "new").agg(F.max("sure").alias("sure"), F.count("*").alias("n")).limit(MAX_NAME_PAIRS + 1).collect()
-    if max(len(uses), len(pairs)) > MAX_NAME_PAIRS:
-        raise ValueError(f"more than {MAX_NAME_PAIRS} distinct field names or renames: not one table")
-    ordered = [(n, a, b) for _, n, a, b in sorted((not r["sure"], -r["n"], *sorted((r["gone"], r["new"]))) for r in pairs)]
-    together = _in_one_file(catalog, ordered)
+    pairs = every.groupBy("gone", "new").agg(F.max("sure").alias("sure"), F.count("*").alias("n")).toLocalIterator()
+    ordered = [(a, b) for _, _, a, b in sorted((not r["sure"], -r["n"], *sorted((r["gone"], r["new"]))) for r in pairs)]
+    beside = _together(catalog, {n for p in ordered for n in p}) if ordered else {}
     group = {n: {n} for n in uses}
-    for _, a, b in ordered:
+    apart = {n: set(beside.get(n, ())) for n in uses}  # names no group with n may take in
+    for a, b in ordered:
         x, y = group.get(a), group.get(b)
-        if x is None or y is None or x is y or any(tuple(sorted((p, q))) in together for p in x for q in y):
+        if x is None or y is None or x is y or not apart[a].isdisjoint(y):
             continue
+        if len(x) < len(y):
+            x, y = y, x
+        stay = apart[next(iter(x))]
+        stay |= apart[next(iter(y))]
         x |= y
-        for n in y:
-            group[n] = x
+        for n in x:
+            group[n], apart[n] = x, stay
     done: dict[str, list[str]] = {}
     for names in {id(g): g for g in group.values()}.values():
         ranked = sorted(names, key=lambda n: (-uses[n], n))

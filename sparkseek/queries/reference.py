@@ -178,6 +178,16 @@ def json_select_nested(spark, d):
     return rows.select(F.col("_offset").alias("event_id"), db.source.typed("event.props.k", FieldType.Float64).alias("k"), kind.alias("event_type"))
 
 
+@_query("select 'a.b.c.d.e.k' as field, count(*) n, round(sum((props->>'$.k')::double), 6) total from events where (props->>'$.k')::double >= 50")
+def json_where_deep(spark, d):
+    """Events' properties wrapped six levels deep: the catalog names the field, and where reaches it."""
+    wrapped = F.concat(F.lit('{"a":{"b":{"c":{"d":{"e":'), F.col("props"), F.lit("}}}}}"))
+    db = Database(J.JsonSource(J.bronze(_table(spark, d, "events").select(F.col("event_id").alias("_offset"), F.length(wrapped).alias("_length"), wrapped.alias("value")))))
+    field = max(db.field_names(), key=lambda f: f.count("."))
+    rows = db.where(field, ">=", 50).ordered(False).get()
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum(db.source.typed(field, FieldType.Float64)), 6).alias("total")).withColumn("field", F.lit(field))
+
+
 @_query("select json_type(json_line, '$.parcel') is null missing, coalesce(json_type(json_line, '$.parcel') = 'NULL', false) is_null, count(*) n from permits group by all")
 def json_null_vs_missing(spark, d):
     db = _permits(spark, d)

@@ -27,13 +27,13 @@ def bronze(lines: DataFrame, mode: str = "failfast") -> DataFrame:
 
 
 class JsonSource(Source):
-    """Records in bronze form. ``depth``: levels of nested objects that the catalog walks."""
+    """Records in bronze form; the catalog walks nested objects to the last level."""
 
-    def __init__(self, df: DataFrame, search_fields: tuple[str, ...] = (), strict_search: bool = False, depth: int = 4):
-        self.df, self.order, self.search_fields, self.strict_search, self.depth = df, ["_offset"], tuple(search_fields), strict_search, depth
+    def __init__(self, df: DataFrame, search_fields: tuple[str, ...] = (), strict_search: bool = False):
+        self.df, self.order, self.search_fields, self.strict_search = df, ["_offset"], tuple(search_fields), strict_search
 
     def field_rows(self) -> DataFrame:
-        flat = V.flatten(self.df.where("v is not null"), "v", ["_offset"], self.depth)
+        flat = V.flatten(self.df.where("v is not null"), "v", ["_offset"])
         kind = V.type_name(F.col("value"))
         size = F.when(kind.isin("String", "Float64"), F.length(F.to_json("value"))).when(kind == "Boolean", 1).otherwise(0)
         return flat.groupBy("field", kind.alias("type")).agg(F.min("_offset").alias("first"), F.count("*").alias("entries"), F.sum(size.cast("long")).alias("total_length")).where("type is not null")

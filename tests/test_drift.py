@@ -121,3 +121,28 @@ def test_every_rename_found_shares_a_column(spark):
     of = {n: k for k, all_names in queries.unified_names(c, versions, permits).items() for n in all_names}
     apart = [p for p in found if not any(set(p) <= names for names in in_file.values())]
     assert apart and [p for p in apart if of[p[0]] != of[p[1]]] == []
+
+
+def test_long_chains_of_renames_are_one_column(spark):
+    n = 1200
+    files = {1: [(f"f{i:04d}", "String") for i in range(n)]}
+    c = catalog(spark, {i: [(f"f{i:04d}", "String"), ("id", "Float64")] for i in range(n)})
+    renames = spark.createDataFrame([(i, f"f{i - 1:04d}", f"f{i:04d}") for i in range(1, n)], "file_id long, gone string, new string")
+    got = D.canonical_names(c, renames)
+    assert set(got) == {"f0000", "id"} and len(got["f0000"]) == n
+    assert len(D.canonical_names(catalog(spark, files), renames)) == n  # all of them side by side in one file
+
+
+def test_place_alone_is_a_stated_rename_but_no_likely_one(spark):
+    files = {1: [("id", "Float64"), ("cost", "String"), ("z", "Float64")], 2: [("id", "Float64"), ("kind", "String"), ("z", "Float64")]}
+    versions = spark.createDataFrame([(1, "s", 1), (2, "s", 2)], "file_id long, series string, seq int")
+    drift = lambda anchored: D.Drift(catalog(spark, files), versions, anchored=anchored)
+    assert [tuple(r)[1:] for r in drift(True).renames().collect()] == [("cost", "kind")] and drift(False).renames().count() == 0
+    assert [tuple(r)[1:4] for r in drift(False).matched().collect()] == [("cost", "kind", True)]
+
+
+def test_nesting():
+    from sparkseek.functions.variants import nesting
+
+    assert nesting("OBJECT<a: BIGINT, b: OBJECT<c: ARRAY<OBJECT<d: STRING>>>>") == 2 and nesting("OBJECT<`x<y`: VOID>") == 1 and nesting("VOID") == 0
+    assert nesting("OBJECT<a: ARRAY<OBJECT<b: OBJECT<c: BIGINT>>>, d: OBJECT<e: OBJECT<f: BIGINT>>>") == 3

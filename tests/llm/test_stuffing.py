@@ -58,3 +58,35 @@ def test_features_are_linear_in_length():
 def test_sentence_share():
     assert S.features(REVIEW)[4] > 0.95 and all(S.features(t)[4] < 0.1 for t in SPAM)
     assert S.features("prix en ligne kettle en ligne promo en ligne")[4] == 0
+
+
+def test_function_words_of_other_languages_are_learned(spark):
+    rng = random.Random(2)
+    nouns = [f"naamwoord{i}" for i in range(60)]
+    review = lambda: " ".join(f"ik heb de {rng.choice(nouns)} nu al {rng.randint(2, 9)} weken en het is nog goed" for _ in range(2))
+    rows = [(review(), "nl") for _ in range(120)] + [(" ".join(rng.choice(nouns[:6]) + " kopen" for _ in range(20)), "nl") for _ in range(5)]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    words = S.learned_words(df)
+    assert {"ik", "het", "nog"} <= words and not words & {"kopen", *nouns}
+    assert {r["doc_id"] for r in S.stuffed(df).collect()} == set(range(120, 125))
+    assert S.learned_words(df.limit(20)) == frozenset()
+
+
+def test_robust_scatter_against_numpy(spark):
+    """The concentration steps on the table's sums equal those on the rows, up to the width of a bin."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.clip(rng.normal(0.5, 0.08, (3000, 5)), 0, 1)
+    x[:200] = np.clip(rng.normal(0.9, 0.02, (200, 5)), 0, 1)
+    rows = spark.createDataFrame([("en", *map(float, r)) for r in x], "language string, " + ", ".join(f"{f} double" for f in S.FEATURES)).repartition(3)
+    got = S.RobustScatter(rows)
+    center, inverse = np.median(x, 0), np.diag(1 / ((np.quantile(x, 0.75, 0) - np.quantile(x, 0.25, 0)) / 1.349) ** 2)
+    for _ in range(S.STEPS):
+        square = S._squared(x, center, inverse)
+        near = x[square <= np.quantile(square, S.KEPT)]
+        center, inverse = near.mean(0), np.linalg.inv(np.cov(near.T, bias=True) + S.FLOOR**2 * np.eye(5))
+    inverse = inverse * min(S.CHI2_MEDIAN / np.median(S._squared(x, center, inverse)), 1)
+    assert np.allclose(got.center["en"], center, atol=0.01) and np.allclose(np.diag(got.inverse["en"]), np.diag(inverse), rtol=0.15)
+    scored = got.score(rows).toPandas()
+    assert (scored.loc[scored["sentences"] > 0.8, "distance2"] > S.CHI2_CUTOFF).mean() > 0.95

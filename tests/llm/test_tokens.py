@@ -57,6 +57,57 @@ def test_stream_memory_stays_bounded():
     assert held <= MINE.lookahead() + len(unit) * 20 + 2 * MINE.longest
 
 
+def odd_text(rng, n):
+    parts = ["it's", " we'll", "'re", "  ", "\n\n ", " don", "'", "...", "12345", "é漢字", "🙂", " the", "x" * 40, " " * 30, "a'", "\u3000"]
+    return "".join(rng.choice(parts) for _ in range(n))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64, 1000])
+def test_text_in_chunks_has_the_same_ids(size):
+    rng = random.Random(size)
+    for text in (odd_text(rng, 300), "a " * 50 + "q" * 20_000 + " b", " " * 20_000 + "x", "x" + " " * 20_000, "-=" * 9000 + "'s", "7" * 17_000 + "\n"):
+        if size < 4 and len(text) > 15_000:
+            text = text[:2000]
+        assert list(MINE.ids_of_chunks(text[i : i + size] for i in range(0, len(text), size))) == THEIRS.encode_ordinary(text)
+
+
+def test_long_texts_take_the_chunked_way():
+    text = odd_text(random.Random(3), 60_000)
+    assert len(text) > 3 * B.CHUNK and MINE.encode(text) == THEIRS.encode_ordinary(text)
+
+
+def test_memory_does_not_grow_with_the_text():
+    """Texts of characters, with runs without any blank among them: the peak is the same, and far below either."""
+    import tracemalloc
+
+    t = B.Transducer(RANKS)
+    t.lookahead()
+    unit = "the quick brown fox's 12 dogs, " * 600 + "abcde" * 1700 + " " * 9000
+
+    def peak(n):
+        tracemalloc.start()
+        for _ in t.ids_of_chunks(unit for _ in range(n)):
+            pass
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found
+
+    peak(1)  # fills the caches
+    small, large = peak(2), peak(8)
+    assert large < 1.2 * small + 100_000 and large < 2_000_000
+
+
+def test_boundaries_a_lookahead_back_are_stable():
+    """Paths that never meet: the bound of the merge list alone lets tokens out."""
+    base = {bytes([b]): i for i, b in enumerate(b"ab")}
+    t = B.Transducer(base | {b"aa": 2, b"bb": 3, b"ab": 4, b"abab": 5})
+    for data in (b"a" * 3000, b"ab" * 1500, b"aab" * 1000):
+        s = B.PieceStream(t)
+        out = [x for i in range(0, len(data), 50) for x in s.feed(data[i : i + 50])]
+        assert len(s.window) <= t.lookahead() + 3 * t.longest + 50
+        assert out + s.end() == t.merge(data)
+
+
 def test_lookahead_of_a_small_list():
     base = {bytes([b]): i for i, b in enumerate(b"abcd")}
     t = B.Transducer(base | {b"ab": 6, b"bc": 5, b"cd": 4})  # each next letter changes all tokens before it

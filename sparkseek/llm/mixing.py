@@ -9,16 +9,16 @@ one document at most.
 from __future__ import annotations
 
 import hashlib
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkseek.runtime import materialize
+from sparkseek.runtime import broadcast_if_small, materialize
 
 MAX_SOURCES = 10_000
 ROWS_PER_STRETCH = 1_000_000
+BAND_BITS = 10
 
 
 @dataclass(frozen=True)
@@ -69,8 +69,9 @@ def targets_of(targets: DataFrame) -> dict[str, tuple[float, int]]:
 class Mixture:
     """``docs`` (doc_id, source, size): sizes may be 0; documents of other sources, or without one, are no part of the mixture."""
 
-    def __init__(self, docs: DataFrame, targets: dict[str, tuple[float, int]], seed: int = 0, total: int | None = None):
-        self.targets, self.seed = targets, seed
+    def __init__(self, docs: DataFrame, targets: dict[str, tuple[float, int]], seed: int = 0, total: int | None = None, stretch: int = ROWS_PER_STRETCH):
+        """``stretch``: about the most documents of a source and size that are numbered in one task."""
+        self.targets, self.seed, self.stretch = targets, seed, stretch
         self.docs = materialize(docs.where(F.col("source").isin(sorted(targets))).select("doc_id", "source", F.col("size").cast("long").alias("size")), "sized")
         totals = self.docs.groupBy("source").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).collect()  # at most MAX_SOURCES rows
         self.shares = plan({r["source"]: (r["n"], r["size"]) for r in totals}, targets, total)
@@ -82,16 +83,27 @@ class Mixture:
     def documents(self) -> DataFrame:
         """(doc_id, source, size, copies) of the documents that occur; copies from 1 to the source's cap.
 
-        Ranks come in two levels: stretches of equal size, split by a hash so that none is large, are counted and summed up; inside a
-        stretch rows are numbered. No source, however large, is ordered in one task.
+        Ranks come in three levels: bands of sizes and the sizes of a band are counted and summed up, and rows are numbered inside a
+        stretch of equal size, which is split by a hash where it is large. No source or size, however common, is ordered in one task.
         """
-        most = max((s.documents for s in self.shares), default=0)
-        salt = F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.lit(max(1, math.ceil(most / ROWS_PER_STRETCH))))
-        rows = self.docs.withColumn("salt", salt)
-        stretches = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("c"))
-        before = stretches.withColumn("before", F.sum("c").over(Window.partitionBy("source").orderBy("size", "salt")) - F.col("c")).drop("c")
+        rows, salt = self.docs, F.lit(0).cast("long")
+        stretches = materialize(rows.groupBy("source", "size").agg(F.count("*").alias("c")), "stretches")
+        large = materialize(stretches.where(F.col("c") > self.stretch).select("source", "size", F.ceil(F.col("c") / self.stretch).alias("salts")), "large")
+        if not large.isEmpty():
+            rows = rows.join(broadcast_if_small(large), ["source", "size"], "left")
+            salt = F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.coalesce("salts", F.lit(1)))
+        rows = rows.select("doc_id", "source", "size", salt.alias("salt"))
+        if not large.isEmpty():
+            stretches = materialize(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("c")), "salted")
+        else:
+            stretches = stretches.withColumn("salt", salt)
+        banded = stretches.withColumn("band", F.shiftright("size", BAND_BITS))
+        bands = banded.groupBy("source", "band").agg(F.sum("c").alias("n"))
+        lower = bands.select("source", "band", (F.sum("n").over(Window.partitionBy("source").orderBy("band")) - F.col("n")).alias("lower"))
+        upto = F.sum("c").over(Window.partitionBy("source", "band").orderBy("size", "salt"))
+        before = banded.withColumn("upto", upto).join(broadcast_if_small(lower), ["source", "band"]).select("source", "size", "salt", (F.col("lower") + F.col("upto") - F.col("c")).alias("before"))
         inside = Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(self.seed)), "doc_id")
-        rank = rows.withColumn("rank", F.row_number().over(inside)).join(before, ["source", "size", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+        rank = rows.withColumn("rank", F.row_number().over(inside)).join(broadcast_if_small(before), ["source", "size", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
         crossed = lambda k: F.floor(k * F.col("r") + F.col("u"))
         placed = rank.join(F.broadcast(self._table().select("source", "r", "u")), "source")  # at most MAX_SOURCES rows
         return placed.withColumn("copies", (crossed(F.col("rank")) - crossed(F.col("rank") - 1)).cast("int")).where("copies > 0").select("doc_id", "source", "size", "copies")

@@ -1,8 +1,10 @@
 """Nearest neighbours of every vector by additive quantization.
 
-A vector is coded as a sum of full-dimensional codewords, one of each codebook. The first, coarse codebook doubles as an inverted index:
-its codewords are cells. Residual codebooks are trained one after another on a bounded sample; every row is encoded by beam search. With
-the norm of its reconstruction stored, the distance to a query needs only inner products, looked up per codebook:
+A vector is coded as a sum of full-dimensional codewords, one of each codebook. The first, coarse codebooks double as an inverted index:
+a sum of their codewords is the center of a cell. One coarse level serves up to ``level_words`` cells, each further level multiplies that,
+so cells stay small however many rows there are, while codebooks, sample and broadcast keep their size. All codebooks are trained residual
+by residual on a bounded sample, and the fine ones are fitted again, jointly, to the codes that beam search gives; every row is encoded by
+beam search. With the norm of its reconstruction stored, the distance to a query needs only inner products, looked up per codebook:
 
     |q - x|^2 ~ |q|^2 - 2 (q.c0 + sum_m q.c_m) + |c0 + sum_m c_m|^2
 
@@ -28,9 +30,9 @@ class Settings:
 
     k: int = 5
     cell_rows: int = 2048  # mean rows of a cell
-    max_cells: int = 16_384  # beyond it cells grow and are split into blocks
-    sample_rows: int = 65_536  # rows the codebooks are trained on, or
-    sample_per_cell: int = 16  # so many for each cell, if that is more
+    level_words: int = 4096  # most codewords of one coarse level
+    sample_rows: int = 65_536  # rows the codebooks are trained on
+    refit_rows: int = 16_384  # of them, those the fine codebooks are fitted to jointly
     books: int = 6  # residual codebooks
     words: int = 256  # codewords of each
     beam: int = 4
@@ -77,43 +79,97 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
     return centers.astype(np.float32)
 
 
+def level_sizes(cells: int, most: int) -> list[int]:
+    """Codewords of each coarse level: as few levels of at most ``most`` words as give that many cells."""
+    levels, size = 1, most
+    while size < cells:
+        levels, size = levels + 1, size * most
+    words = max(1, int(np.ceil(cells ** (1 / levels) - 1e-9)))
+    return [words] * levels
+
+
 @dataclass(frozen=True)
 class Codebooks:
-    coarse: np.ndarray  # cells x d
-    radius: np.ndarray  # of each cell: 99 of 100 sampled members lie within; with fewer than two of them, that of the whole sample
+    coarse: tuple[np.ndarray, ...]  # of each level, words x d
+    radius: np.ndarray  # by word of the last level: 99 of 100 sampled members lie within; with fewer than two of them, that of the whole sample
     fine: np.ndarray  # books x words x d
 
     @classmethod
     def train(cls, sample: np.ndarray, cells: int, s: Settings) -> Codebooks:
-        """Residual by residual on the sample; the last rounds refit every codebook against the codes that beam search gives."""
+        """Residual by residual on the sample; then the fine books are fitted jointly to beam search's codes."""
         rng = np.random.default_rng(s.seed)
-        coarse = kmeans(sample, cells, rng)
-        cell = _nearest(sample, coarse)[:, 0]
-        residual = sample - coarse[cell]
+        residual, coarse = sample, []
+        for size in level_sizes(cells, s.level_words):
+            coarse.append(kmeans(residual, size, rng))
+            word = _nearest(residual, coarse[-1])[:, 0]
+            residual = residual - coarse[-1][word]
         far = np.sqrt((residual.astype(np.float64) ** 2).sum(1))
-        radius = np.array([np.quantile(far[cell == c], 0.99) if (cell == c).sum() > 1 else far.max(initial=0.0) for c in range(len(coarse))])
-        fine = []
+        radius = np.array([np.quantile(far[word == c], 0.99) if (word == c).sum() > 1 else far.max(initial=0.0) for c in range(len(coarse[-1]))])
+        fine, rest = [], residual
         for _ in range(s.books):
             words = np.zeros((s.words, sample.shape[1]), np.float32)
-            found = kmeans(residual, s.words, rng, 8)
+            found = kmeans(rest, s.words, rng, 8)
             words[: len(found)] = found
             words[len(found) :] = found[0]
             fine.append(words)
-            residual = residual - words[_nearest(residual, words)[:, 0]]
-        return cls(coarse, radius, np.stack(fine))
-
-    def visits(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+            rest = rest - words[_nearest(rest, words)[:, 0]]
+        return cls(tuple(coarse), radius, np.stack(fine)).refit(residual[: s.refit_rows], s.beam)
+
+    def refit(self, residual: np.ndarray, beam: int) -> Codebooks:
+        """The fine codewords that reconstruct the residuals best, given their codes: one least-squares problem over all books, with a slight pull to the words as they are."""
+        books, words, d = self.fine.shape
+        codes = self.encode(residual, beam)[0].astype(np.int64)
+        gram, right = np.zeros((books * words, books * words)), np.zeros((books * words, d))
+        for a in range(books):
+            rows = slice(a * words, (a + 1) * words)
+            right[rows] = np.stack([np.bincount(codes[:, a], residual[:, j], words) for j in range(d)], 1)
+            for b in range(books):
+                gram[rows, b * words : (b + 1) * words] = np.bincount(codes[:, a] * words + codes[:, b], minlength=words * words).reshape(words, words)
+        flat = self.fine.reshape(-1, d).astype(np.float64)
+        fitted = np.linalg.solve(gram + np.eye(len(gram)), right + flat)
+        return Codebooks(self.coarse, self.radius, fitted.reshape(books, words, d).astype(np.float32))
+
+    def center(self, cell: np.ndarray) -> np.ndarray:
+        """Centers of cells: digits of a cell's number are its codewords."""
+        out, rest = np.zeros((len(cell), self.coarse[0].shape[1]), np.float32), np.asarray(cell)
+        for words in reversed(self.coarse):
+            out += words[rest % len(words)]
+            rest = rest // len(words)
+        return out
+
+    def visits(self, x: np.ndarray, probes: int, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """(cells, wanted): the nearest cells of each row, and which of them are worth a visit.
 
-        A point in cell j is at least d_j - r_j away. The k nearest in the row's own cell are usually within its radius r_1, or within d_1
-        for a row far out; where the first exceeds that, the cell is unlikely to have nearer points.
+        Further levels are searched from the 2 * ``probes`` best sums so far. A point in cell j is at least d_j - r_j away. The k nearest in
+        the row's own cell are usually within its radius r_1, or within d_1 for a row far out; where the first exceeds that, the cell is
+        unlikely to have nearer points.
         """
-        cells = _nearest(x, self.coarse, min(probes, len(self.coarse)))
-        away = np.sqrt(((x[:, None, :] - self.coarse[cells]) ** 2).sum(2))
-        wanted = away - self.radius[cells] <= np.maximum(away[:, :1], self.radius[cells[:, :1]])
+        total = int(np.prod([len(w) for w in self.coarse]))
+        first = _nearest(x, self.coarse[0], min(probes if len(self.coarse) == 1 else 2 * probes, len(self.coarse[0])))
+        cells = first.astype(np.int64)
+        for level, words in enumerate(self.coarse[1:], 2):
+            keep = probes if level == len(self.coarse) else 2 * probes
+            norms, out = (words**2).sum(1), []
+            for i in range(0, len(x), chunk):
+                known = cells[i : i + chunk]
+                left = x[i : i + chunk, None, :] - self._partial(known, level - 1)
+                cost = ((left**2).sum(2)[:, :, None] + norms - 2 * left @ words.T).reshape(len(left), -1)
+                m = min(keep, cost.shape[1])
+                best = np.argpartition(cost, m - 1, axis=1)[:, :m]
+                best = np.take_along_axis(best, np.take_along_axis(cost, best, 1).argsort(1, kind="stable"), 1)
+                out.append(np.take_along_axis(known, best // len(words), 1) * len(words) + best % len(words))
+            cells = np.concatenate(out) if out else np.zeros((0, min(keep, total)), np.int64)
+        flat = cells.ravel()
+        away = np.sqrt(((x[:, None, :] - self.center(flat).reshape(*cells.shape, -1)) ** 2).sum(2))
+        radius = self.radius[flat % len(self.coarse[-1])].reshape(cells.shape)
+        wanted = away - radius <= np.maximum(away[:, :1], radius[:, :1])
         wanted[:, 0] = True
         return cells, wanted
 
+    def _partial(self, numbers: np.ndarray, levels: int) -> np.ndarray:
+        """Sums of the first ``levels`` coarse codewords, for a matrix of their numbers."""
+        return Codebooks(self.coarse[:levels], self.radius, self.fine).center(numbers.ravel()).reshape(*numbers.shape, -1)
+
     def encode(self, residual: np.ndarray, beam: int, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """(codes, reconstruction) of residuals: per codebook, each of the ``beam`` best partial sums is extended by every codeword."""
         codes, sums = [], []
@@ -169,15 +225,14 @@ class Index:
         self.n = clean.count()
         shared = clean.where("n > 1").select(F.col("vec_id").alias("first"), "point")
         self.copies = None if shared.isEmpty() else materialize(every.join(broadcast_if_small(shared), "point").select("vec_id", "first"), "copies")
-        self.cells = min(s.max_cells, max(1, round(self.n / s.cell_rows)))
-        wanted = max(s.sample_rows, s.sample_per_cell * self.cells)  # at most 262,144 rows
-        share = min(1.0, 1.1 * wanted / max(self.n, 1))
-        picked = clean.where(F.pmod(F.xxhash64("vec_id", F.lit(s.seed)), F.lit(1_000_000)) < int(1_000_000 * share)).limit(wanted)
+        self.cells = max(1, round(self.n / s.cell_rows))
+        share = min(1.0, 1.1 * s.sample_rows / max(self.n, 1))
+        picked = clean.where(F.pmod(F.xxhash64("vec_id", F.lit(s.seed)), F.lit(1 << 40)) < int((1 << 40) * share)).limit(s.sample_rows)
         sample = picked.select("point").toArrow().column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, d)
         if not len(sample):
             sample = np.zeros((1, d), np.float32)
-        self.books = self.spark.sparkContext.broadcast(Codebooks.train(sample, self.cells, s))  # bounded by max_cells, books and words
-        self.rows = materialize(clean.mapInArrow(self._encode(), "vec_id long, n long, x binary, cell int, codes binary, norm float, visit array<int>"), "encoded")
+        self.books = self.spark.sparkContext.broadcast(Codebooks.train(sample, self.cells, s))  # bounded by level_words, books and words
+        self.rows = materialize(clean.mapInArrow(self._encode(), "vec_id long, n long, x binary, cell long, codes binary, norm float, visit array<long>"), "encoded")
 
     def _encode(self):
         shared, s, d = self.books, self.s, self.d
@@ -190,10 +245,11 @@ class Index:
                 x = _matrix(batch.column(1), d)
                 visit, wanted = b.visits(x, s.probes)
                 cell = visit[:, 0]
-                codes, rest = b.encode(x - b.coarse[cell], s.beam)
-                norm = ((b.coarse[cell] + rest) ** 2).sum(1)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(wanted.sum(1)))).astype(np.int32)), pa.array(visit[wanted].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _bytes(x), pa.array(cell.astype(np.int32)), _bytes(codes), pa.array(norm.astype(np.float32)), lists], ["vec_id", "n", "x", "cell", "codes", "norm", "visit"])
+                center = b.center(cell)
+                codes, rest = b.encode(x - center, s.beam)
+                norm = ((center + rest) ** 2).sum(1)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(wanted.sum(1)))).astype(np.int32)), pa.array(visit[wanted]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _bytes(x), pa.array(cell), _bytes(codes), pa.array(norm.astype(np.float32)), lists], ["vec_id", "n", "x", "cell", "codes", "norm", "visit"])
 
         return run
 
@@ -231,49 +287,36 @@ class Index:
     def _points_near(self, queries: DataFrame) -> DataFrame:
         """(vec_id, ids, dists): the k nearest other points of some of the index's rows.
 
-        Rows whose cells hold fewer than k others are searched exactly instead, so many at a time that exact_neighbours takes them. Work is cut into blocks of a cell's rows times parts of its queries, so that no group grows with the data or with one crowded
-        cell: the counts per cell (at most max_cells rows) say into how many.
+        Work is cut into blocks of a cell's rows times parts of its queries, so that no group grows with the data or with one crowded cell:
+        the counts per cell say into how many. Rows whose cells hold fewer than k others come out short; these are searched exactly.
         """
         s, d = self.s, self.d
-        members = {r["cell"]: r["n"] for r in self.rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        short = materialize(self._short(queries, members), "short")
-        n_short, exact = short.count(), None
-        if n_short:
-            parts = -(-n_short // 50_000)
-            for i in range(parts):
-                found = exact_neighbours(self.rows, short.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i), s.k, d)
-                exact = found if exact is None else exact.unionByName(found)
-            queries = queries.join(broadcast_if_small(short.select("vec_id")), "vec_id", "left_anti")
         asked = queries.select(F.col("vec_id").alias("query"), F.col("x").alias("q"), F.explode("visit").alias("cell"))
-        visits = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        plan = [(c, -(-n // s.block_rows), max(1, -(-visits.get(c, 0) // s.block_queries))) for c, n in members.items()]
-        cells = F.broadcast(self.spark.createDataFrame(plan, "cell int, blocks int, parts int"))
+        members, visits = self.rows.groupBy("cell").agg(F.count("*").alias("n")), asked.groupBy("cell").agg(F.count("*").alias("v"))
+        cells = broadcast_if_small(members.join(visits, "cell").select("cell", F.ceil(F.col("n") / s.block_rows).cast("int").alias("blocks"), F.ceil(F.col("v") / s.block_queries).cast("int").alias("parts")))
         spread = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         base = self.rows.join(cells, "cell").withColumn("block", spread("vec_id", "blocks")).select("cell", "block", every("parts").alias("part"), "vec_id", "x", "codes", "norm")
         asks = asked.join(cells, "cell").withColumn("part", spread("query", "parts")).select(F.col("cell").alias("q_cell"), every("blocks").alias("q_block"), F.col("part").alias("q_part"), "query", "q")
         found = asks.groupBy("q_cell", "q_block", "q_part").cogroup(base.groupBy("cell", "block", "part")).applyInArrow(_scorer(self.books, s, d), "vec_id long, ids array<long>, dists array<double>")
         hits = F.flatten(F.collect_list(F.transform(F.arrays_zip("dists", "ids"), lambda h: F.struct(h.dists.alias("dist"), h.ids.alias("id")))))
-        best = found.groupBy("vec_id").agg(F.slice(F.array_sort(hits), 1, s.k).alias("best"))
-        near = best.select("vec_id", F.col("best.id").alias("ids"), F.col("best.dist").alias("dists"))
-        return near if exact is None else near.unionByName(exact)
-
-    def _short(self, queries: DataFrame, members: dict[int, int]) -> DataFrame:
-        """(vec_id, x) of the queries whose cells hold fewer than k other points, though the index has as many."""
-        held = np.zeros(max(members, default=0) + self.cells + 1, np.int64)
-        held[list(members)] = list(members.values())
-        shared, least = self.spark.sparkContext.broadcast(held), min(self.s.k + 1, self.n)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    visit = batch.column(2)
-                    upto = np.concatenate(([0], np.cumsum(shared.value[visit.flatten().to_numpy()])))
-                    ends = np.concatenate(([0], np.cumsum(visit.value_lengths().to_numpy())))
-                    few = upto[ends[1:]] - upto[ends[:-1]] < least
-                    yield batch.select([0, 1]).filter(pa.array(few))
-
-        return queries.select("vec_id", "x", "visit").mapInArrow(run, "vec_id long, x binary")
+        best = found.groupBy("vec_id").agg(F.slice(F.array_sort(hits), 1, s.k).alias("best"))  # at most k of each visited block
+        near = materialize(best.select("vec_id", F.col("best.id").alias("ids"), F.col("best.dist").alias("dists")), "near")
+        short = materialize(self.short(queries, near), "short")
+        parts = -(-short.count() // 50_000)
+        if not parts:
+            return near
+        near = near.join(broadcast_if_small(short.select("vec_id")), "vec_id", "left_anti")
+        for i in range(parts):
+            near = near.unionByName(exact_neighbours(self.rows, short.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i), s.k, d))
+        return near
+
+    def short(self, queries: DataFrame, near: DataFrame) -> DataFrame:
+        """(vec_id, x) of the queries that have fewer than k neighbours in ``near``, though the index has as many other points."""
+        least = min(self.s.k, self.n - 1)
+        enough = near.where(F.size("ids") >= least).select("vec_id")
+        few = materialize(queries.select("vec_id").join(enough, "vec_id", "left_anti"), "few")
+        return queries.select("vec_id", "x").join(broadcast_if_small(few), "vec_id", "left_semi")
 
 
 def _scorer(shared, s: Settings, d: int):
@@ -283,7 +326,8 @@ def _scorer(shared, s: Settings, d: int):
         schema = pa.schema([("vec_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64()))])
         if not asks.num_rows or not base.num_rows:
             return schema.empty_table()
-        b, cell = shared.value, key[0].as_py()
+        b = shared.value
+        center = b.center(np.array([key[0].as_py()]))[0]
         column = lambda t, c: t.column(c).combine_chunks()
         q, qid = _unbytes(column(asks, "q"), np.float32, d), column(asks, "query").to_numpy()
         x, xid = _unbytes(column(base, "x"), np.float32, d), column(base, "vec_id").to_numpy()
@@ -294,7 +338,7 @@ def _scorer(shared, s: Settings, d: int):
         chunk = max(1, 2_000_000 // len(x))
         for i in range(0, len(q), chunk):
             part = q[i : i + chunk]
-            score = norm - 2 * (part @ b.coarse[cell])[:, None]
+            score = norm - 2 * (part @ center)[:, None]
             for m, words in enumerate(b.fine):
                 score -= 2 * np.take(part @ words.T, codes[:, m], axis=1)
             near = np.argpartition(score, take - 1, axis=1)[:, :take] if take < len(x) else np.broadcast_to(np.arange(len(x)), score.shape)

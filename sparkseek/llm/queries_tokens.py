@@ -38,5 +38,19 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return m.report(materialize(m.documents(), "mixture"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mixture": p8_mixture, "p8_report": p8_report}
-SQL = {"p7_decoded": "select doc_id, coalesce(text, '') as text from documents"}
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """(source, documents, cap_kept, share_kept) of the whole mixture: no document occurs more often than allowed, and each source's tokens are
+    off by at most its largest document from what its share asks for."""
+    m = _mixture(spark, d)
+    mixture = materialize(m.documents(), "mixture")
+    largest = m.docs.groupBy("source").agg(F.max("size").alias("largest"))
+    report = m.report(mixture).join(largest, "source", "left")
+    asked = F.col("expected_copies") * F.col("source_tokens")
+    return report.select("source", "documents", (F.col("most_copies") <= F.col("max_repeats")).alias("cap_kept"), (F.abs(F.col("tokens") - asked) <= F.coalesce("largest", F.lit(0))).alias("share_kept"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mixture": p8_mixture, "p8_report": p8_report, "p8_checked": p8_checked}
+SQL = {
+    "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",
+    "p8_checked": "select source_name source, count(doc_id) documents, true cap_kept, true share_kept from (select distinct source_name from mix_targets) left join documents on source = source_name group by 1",
+}

@@ -31,7 +31,7 @@ def test_beam_search_improves_and_reconstructs():
     x = clusters(2000)
     s = Q.Settings(books=4, words=32, sample_rows=2000)
     b = Q.Codebooks.train(x, 4, s)
-    residual = x - b.coarse[Q._nearest(x, b.coarse)[:, 0]]
+    residual = x - b.center(b.visits(x, 1)[0][:, 0])
     errors = []
     for beam in (1, 4, 8):
         codes, rest = b.encode(residual, beam)
@@ -106,7 +106,7 @@ def test_isolated_points_have_all_their_neighbours(spark):
     got = {r["vec_id"]: r["ids"] for r in index.neighbours().collect()}
     assert set(got) == set(range(120)) and all(len(v) == 5 for v in got.values())
     members = {r["cell"]: r["n"] for r in index.rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    short = {r["vec_id"] for r in index._short(index.rows, members).collect()}
+    short = {r["vec_id"] for r in index.rows.collect() if sum(members.get(c, 0) for c in r["visit"]) < 6}
     want = brute(x, 5)
     assert short and all(got[q] == [i for _, i in want[q]] for q in short)
 
@@ -114,4 +114,32 @@ def test_isolated_points_have_all_their_neighbours(spark):
 def test_radius_of_a_cell_with_one_sampled_member_is_unknown():
     x = np.concatenate((clusters(50), np.full((1, 8), 1e4, np.float32)))
     b = Q.Codebooks.train(x, 40, Q.Settings(books=1, words=8))
-    assert (np.bincount(Q._nearest(x, b.coarse)[:, 0], minlength=40) == 1).any() and (b.radius > 0).all()
+    assert (np.bincount(Q._nearest(x, b.coarse[0])[:, 0], minlength=40) == 1).any() and (b.radius > 0).all()
+
+
+def test_level_sizes():
+    assert Q.level_sizes(1, 4096) == [1] and Q.level_sizes(4096, 4096) == [4096] and Q.level_sizes(4097, 4096) == [65, 65] and Q.level_sizes(500, 8) == [8, 8, 8]
+
+
+@pytest.mark.parametrize("level_words", [8, 4])
+def test_several_coarse_levels(spark, level_words):
+    """Two and three levels of codewords make the cells: recall and exact distances hold, and cells stay as small as with one level."""
+    x = clusters(1500)
+    index = Q.Index(frame(spark, [(i, [float(v) for v in p]) for i, p in enumerate(x)]), d=8, settings=Q.Settings(cell_rows=30, level_words=level_words, words=32, books=3, probes=10, rerank=40))
+    b = index.books.value
+    assert len(b.coarse) == (2 if level_words == 8 else 3) and max(map(len, b.coarse)) <= level_words
+    cells, _ = b.visits(x, 10)
+    away = lambda c: np.sqrt(((x - b.center(c)) ** 2).sum(1))
+    assert (away(cells[:, 0]) <= away(cells[:, 1]) + 1e-4).all() and len(set(cells[0])) == 10
+    got, want = {r["vec_id"]: r["ids"] for r in index.neighbours().collect()}, brute(x, 5)
+    assert set(got) == set(range(1500)) and sum(len(set(got[q]) & {i for _, i in want[q]}) for q in got) / 7500 > 0.9
+
+
+def test_refit_lowers_the_error():
+    x = clusters(3000, k=30)
+    s = Q.Settings(books=4, words=32)
+    rng = np.random.default_rng(1)
+    plain = Q.Codebooks((x.mean(0)[None],), np.ones(1), np.stack([Q.kmeans(x - x.mean(0), 32, rng) / 2**m for m in range(4)]))
+    residual = x - x.mean(0)
+    error = lambda b: ((residual - b.encode(residual, s.beam)[1]) ** 2).sum(1).mean()
+    assert error(plain.refit(residual, s.beam)) < 0.9 * error(plain)

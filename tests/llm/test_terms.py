@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.functions.text import normal_form
 from sparkseek.llm import parsimony as P
-from sparkseek.llm.terms import TermCounts, record_terms, signed_delta
+from sparkseek.llm.terms import LostUpdate, TermCounts, record_terms, signed_delta
 
 TOKENS = "rec_id long, word string, tok_offset int, tf long, at string"
 
@@ -128,3 +128,23 @@ def test_sums_of_one_record_do_not_depend_on_others():
 def test_normal_form_is_idempotent():
     for w in ("Ünïcode", "ﬁ№", "A-b"):
         assert normal_form(normal_form(w)) == normal_form(w)
+
+
+def test_buckets_follow_the_vocabulary(spark, tmp_path):
+    store = TermCounts(spark, f"file://{tmp_path}/counts", terms_per_bucket=10)
+    store.update(after=terms(spark, [(1, f"w{i}", 1) for i in range(8)]))
+    assert store.manifest()["buckets"] == 1
+    store.update(after=terms(spark, [(2, f"w{i}", 2) for i in range(60)]))
+    assert store.manifest()["buckets"] == 8 and store.records() == 2
+    assert as_set(store.counts()) == {(f"w{i}", 3 if i < 8 else 2, 2 if i < 8 else 1) for i in range(60)}
+    store.update(before=terms(spark, [(2, "w3", 2)]))
+    assert {r[0]: tuple(r[1:]) for r in store.counts().collect()}["w3"] == (1, 1)
+
+
+def test_of_two_racing_updates_one_counts(spark, tmp_path, monkeypatch):
+    a, b = (TermCounts(spark, f"file://{tmp_path}/counts") for _ in range(2))
+    a.update(after=terms(spark, [(1, "x", 1)]))
+    monkeypatch.setattr(b, "version", lambda: 0)  # began before a's update
+    with pytest.raises(LostUpdate):
+        b.update(after=terms(spark, [(2, "y", 5)]))
+    assert as_set(a.counts()) == {("x", 1, 1)}

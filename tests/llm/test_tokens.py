@@ -185,6 +185,24 @@ def test_copies_against_plain_prefix_sums(spark):
             before += n
 
 
+def test_split_stretches_and_bands_are_the_same_line(spark):
+    """Stretches of at most five rows, sizes over several bands: copies per source follow from the plain prefix sums just as well."""
+    rng = random.Random(5)
+    docs = [(i, rng.choice("ab"), rng.choice([3, 3, 3, 900, 1500, 5000])) for i in range(400)]
+    m = mixture(spark, docs, {"a": (0.4, 3), "b": (0.6, 2)}, seed=8, stretch=5)
+    rows = m.documents().collect()
+    for share in m.shares:
+        mine = [r for r in rows if r["source"] == share.source]
+        n, u = share.documents, M._offset(share.source, 8)
+        assert sum(r["copies"] for r in mine) == int(share.copies * n + u) - int(u) and len({r["doc_id"] for r in mine}) == len(mine)
+        assert {r["copies"] for r in mine} <= {int(share.copies), int(share.copies) + 1}
+        before = 0
+        for size in (3, 900, 1500, 5000):
+            c = sum(1 for _, s, z in docs if (s, z) == (share.source, size))
+            assert sum(r["copies"] for r in mine if r["size"] == size) == int(share.copies * (before + c) + u) - int(share.copies * before + u)
+            before += c
+
+
 def test_same_seed_same_mixture(spark):
     docs = [(i, "a", 3) for i in range(100)]
     pick = lambda seed: {(r["doc_id"], r["copies"]) for r in mixture(spark, docs, {"a": (1.0, 1)}, seed=seed, total=90).documents().collect()}

@@ -1,21 +1,23 @@
-"""Command line: ``python -m sparkseek.cli (-jsonl | -csv) [-i TABLE] [-s FIELD]... [-t] [-b FILE] DATA`` or ``-f FILE.jsonl``.
+"""Command line: ``sparkseek (-jsonl | -csv) [-i TABLE] [-s FIELD]... [-sort FIELD] [-t] [-b FILE] [-pprof FILE] [-debug] DATA`` or ``-f FILE.jsonl``.
 
-Ingests a file into a Parquet table (``-i``, only what is new since the last call) and prints its fields with their types; ``-s``: search
-fields, whose n-gram postings are stored beside the table; ``-t``: print timings; ``-b``: write the progress of each batch as JSON lines;
+Prints a file's fields with their types; ``-i``: keeps it as a stored table, to which each call adds only what is new; ``-s``: search fields,
+whose n-gram postings are stored too; ``-sort``: a field to sort the table's parts by; ``-t``: print timings; ``-b``: write the table's parts
+with rows, bytes and seconds as JSON lines; ``-pprof``: write a profile of the driver; ``-debug``: log all of Spark and explain the plan;
 ``-f``: turn a JSONL file into one pretty JSON array beside it.
 """
 
 from __future__ import annotations
 
 import argparse
+import cProfile
 import json
 import sys
 import time
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from sparkseek.plans.database import Database
+from sparkseek.sources import store
 
 
 def jsonl_to_json(path: str) -> str:
@@ -38,8 +40,11 @@ def main(argv: list[str] | None = None) -> int:
     kind.add_argument("-f", metavar="FILE.jsonl")
     p.add_argument("-i", metavar="TABLE")
     p.add_argument("-s", metavar="FIELD", action="append", default=[])
+    p.add_argument("-sort", metavar="FIELD")
     p.add_argument("-t", action="store_true")
     p.add_argument("-b", metavar="FILE")
+    p.add_argument("-pprof", metavar="FILE")
+    p.add_argument("-debug", action="store_true")
     p.add_argument("data", nargs="?")
     a = p.parse_args(argv)
     if a.f:
@@ -47,28 +52,36 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if not a.data:
         p.error("DATA is missing")
-    spark = SparkSession.builder.appName("sparkseek").getOrCreate()
+    if a.b and not a.i:
+        p.error("-b needs a table (-i)")
+    profile = cProfile.Profile()
     began = time.time()
-    if a.i:
-        from sparkseek.streaming.ingest import start
+    if a.pprof:
+        profile.enable()
+    run(a)
+    if a.pprof:
+        profile.disable()
+        profile.dump_stats(a.pprof)
+    if a.t:
+        print(f"{time.time() - began:.1f} s", file=sys.stderr)
+    return 0
+
 
-        query = start(spark, a.data, f"{a.i}/records", f"{a.i}/checkpoint")
-        query.awaitTermination()
+def run(a: argparse.Namespace) -> None:
+    spark = SparkSession.builder.appName("sparkseek").getOrCreate()
+    if a.debug:
+        spark.sparkContext.setLogLevel("DEBUG")
+    kind = "jsonl" if a.jsonl else "csv"
+    if a.i:
+        state = store.sync(spark, a.data, a.i, kind, tuple(a.s), a.sort)
         if a.b:
             with open(a.b, "w") as f:
-                f.writelines(json.dumps(dict(x)) + "\n" if isinstance(x, dict) else x.json + "\n" for x in query.recentProgress)
-    db = Database.open(a.data, spark=spark, format="jsonl" if a.jsonl else "csv", search_fields=tuple(a.s))
+                f.writelines(json.dumps(part) + "\n" for part in state["parts"])
+    db = Database.open(a.i or a.data, spark=spark, format=kind, search_fields=tuple(a.s))
+    if a.debug:
+        db.df().explain("formatted")
     for field, types in db.fields().items():
         print(field, ", ".join(t.name for t in types))
-    if a.i and a.s:
-        from sparkseek.functions.types import FieldType
-        from sparkseek.operators.search import postings, write_postings
-
-        for field in a.s:
-            write_postings(postings(db.df().select(F.col("_offset").alias("doc"), db.source.typed(field, FieldType.String).alias("text"))), f"{a.i}/postings/{field}")
-    if a.t:
-        print(f"{time.time() - began:.1f} s", file=sys.stderr)
-    return 0
 
 
 if __name__ == "__main__":

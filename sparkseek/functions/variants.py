@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,10 +80,14 @@ def nesting(schema: str) -> int:
     return deepest
 
 
+def _deepest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([pa.array([max((nesting(s) for b in batches for s in b.column(0).to_pylist() if s), default=0)], pa.int32())], ["levels"])
+
+
 def levels(df: DataFrame, v: str) -> int:
-    """Levels of nested objects in the column, 1 for flat ones: one aggregation."""
-    found = df.agg(F.schema_of_variant_agg(v)).first()[0]
-    return max(1, nesting(found or ""))
+    """Levels of nested objects in the column, 1 for flat ones. Each distinct schema of a record is looked at once."""
+    schemas = df.select(F.schema_of_variant(v).alias("s")).distinct()
+    return max(1, schemas.mapInArrow(_deepest, "levels int").agg(F.max("levels")).first()[0] or 0)
 
 
 def flatten(df: DataFrame, v: str, keep: list[str], depth: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.functions.columns import once
 from sparkseek.functions.text import kept_characters, ngrams, ngrams_between
+from sparkseek.runtime import materialize
 
 K1 = 1.2
 
@@ -50,8 +51,9 @@ def term_score(n: Column, df: Column, tf: Column) -> Column:
 def search(docs: DataFrame, like: str, low: int = 1, high: int = 2, within: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(doc, score), best first. ``within``: documents that may be returned; the statistics are those of all documents.
 
-    Each document counts its own query grams in an expression, so scoring needs no posting shuffle: one aggregation gives N and the
-    document frequencies (one row), a second pass scores and keeps the best. A query has few grams; their number bounds that row.
+    Each document counts its own query grams in an expression, so scoring needs no posting shuffle. Texts are read once: the counts of
+    documents with any gram are written, an aggregation over these gives the document frequencies (one row; a query has few grams), and
+    scores come from both.
     """
     grams = query_grams(like, low, high)
     if not grams:
@@ -60,12 +62,12 @@ def search(docs: DataFrame, like: str, low: int = 1, high: int = 2, within: Data
     seen = docs.select("doc", once(kept_characters(F.coalesce("text", F.lit("")))).alias("kept"))
     # overlapping occurrences; grams have no blanks, so none crosses words
     counted = seen.select("doc", once(F.array(*(F.regexp_count("kept", F.lit(f"(?={g})")) for g in names))).alias("tf"))
-    stats = counted.agg(F.count("*").alias("n"), F.array(*(F.count(F.when(F.get("tf", F.lit(i)) > 0, 1)) for i in range(len(names)))).alias("df"))
+    rows = materialize(counted.where(F.exists("tf", lambda x: x > 0)), "hits")
+    stats = rows.agg(F.lit(docs.count()).alias("n"), F.array(*(F.count(F.when(F.get("tf", F.lit(i)) > 0, 1)) for i in range(len(names)))).alias("df"))
     score = F.lit(0.0)
     for i, g in enumerate(names):
         tf = F.get("tf", F.lit(i))
         score = score + F.lit(float(grams[g])) * F.when(tf > 0, term_score(F.col("n"), F.get("df", F.lit(i)), tf)).otherwise(0.0)
-    rows = counted.where(F.exists("tf", lambda x: x > 0))
     if within is not None:
         rows = rows.join(within, "doc", "left_semi")
     scored = rows.crossJoin(F.broadcast(stats)).select("doc", score.alias("score"))  # stats: one row
@@ -73,18 +75,21 @@ def search(docs: DataFrame, like: str, low: int = 1, high: int = 2, within: Data
     return ordered if limit is None else ordered.limit(limit)
 
 
-def search_postings(p: DataFrame, n_docs: int, like: str, low: int = 1, high: int = 2) -> DataFrame:
-    """The same scores from a stored postings table (doc, gram, tf), sorted or bucketed by gram so that only the query's grams are read."""
+def search_postings(p: DataFrame, n_docs: int, like: str, low: int = 1, high: int = 2, within: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """The same scores from a stored postings table (doc, gram, tf), sorted by gram so that only the query's grams are read."""
     grams = query_grams(like, low, high)
     rows = p.where(F.col("gram").isin(list(grams)))
     weights = F.create_map(*(F.lit(x) for g, c in grams.items() for x in (g, float(c)))) if grams else F.create_map().cast("map<string,double>")
-    return (
-        rows.join(document_frequency(rows), "gram")
+    frequency = F.broadcast(document_frequency(rows))  # a row per gram of the query
+    kept = rows if within is None else rows.join(within, "doc", "left_semi")
+    ordered = (
+        kept.join(frequency, "gram")
         .withColumn("s", F.element_at(weights, F.col("gram")) * term_score(F.lit(n_docs), F.col("df"), F.col("tf")))
         .groupBy("doc")
         .agg(F.sum("s").alias("score"))
         .orderBy(F.col("score").desc(), "doc")
     )
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def write_postings(p: DataFrame, path: str) -> None:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import itertools
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.functions.types import FieldType, literal_type, literal_value
@@ -22,7 +25,8 @@ class Database:
 
     @classmethod
     def open(cls, source, spark: SparkSession | None = None, format: str | None = None, search_fields: tuple[str, ...] = (), order: list[str] | None = None, mode: str = "failfast", strict_search: bool = False, split: int = 64 << 20) -> Database:  # noqa: A002
-        """A DataFrame, a Source, or the path of a .jsonl, .csv or Parquet file (``format`` overrides the suffix)."""
+        """A DataFrame, a Source, a stored table's folder (``sparkseek.sources.store``), or the path of a .jsonl, .csv or Parquet file
+        (``format`` overrides the suffix; for a stored table it is checked). In ``permissive`` mode broken lines stay, with broken UTF-8 replaced."""
         from sparkseek.sources.tabular import TabularSource
 
         if isinstance(source, Source):
@@ -30,15 +34,20 @@ class Database:
         if isinstance(source, DataFrame):
             return cls(TabularSource(source, order, search_fields))
         spark = spark or SparkSession.getActiveSession()
+        from sparkseek.sources import store
+
+        if format == "table" or (format in (None, *store.FORMATS) and store.is_table(spark, source)):
+            return cls(store.StoredSource(spark, source, None if format == "table" else format))
+        invalid = "error" if mode == "failfast" else "replace"
         kind = format or source.rsplit(".", 1)[-1].lower()
         if kind in ("jsonl", "ndjson", "json"):
             from sparkseek.sources import jsonl, tail
 
-            return cls(jsonl.JsonSource(jsonl.bronze(tail.read_lines(spark, source, split=split), mode), search_fields, strict_search))
+            return cls(jsonl.JsonSource(jsonl.bronze(tail.read_lines(spark, source, split=split, invalid=invalid), mode), search_fields, strict_search))
         if kind == "csv":
             from sparkseek.sources import csv, tail
 
-            lines = tail.read_lines(spark, source, split=split)
+            lines = tail.read_lines(spark, source, split=split, invalid=invalid)
             return cls(csv.CsvSource(csv.bronze(lines, csv_header(spark, source), mode), csv_header(spark, source), search_fields))
         return cls(TabularSource(spark.read.format(kind).load(source), order, search_fields))
 
@@ -56,6 +65,10 @@ class Database:
     def entries(self) -> int:
         return self.source.entries()
 
+    def metadata(self) -> dict:
+        """{version, format, read_offset, entries}: all of them for a stored table, else the entries."""
+        return self.source.metadata()
+
     def is_empty(self) -> bool:
         return self.source.df.isEmpty()
 
@@ -91,6 +104,12 @@ class Database:
         rows = self._ordered(self._filtered(q), q)
         return rows.select(*(self.source.projected(k) for k in q.select)) if q.select else rows
 
+    def pull(self, q: Query | dict, size: int = 1000) -> Iterator[list[Row]]:
+        """The rows in pages of ``size``, in order, one after another as they are asked for; the driver holds one partition of the result at a time."""
+        rest = self.query(q).toLocalIterator()
+        while page := list(itertools.islice(rest, size)):
+            yield page
+
     def query_json(self, q: Query | dict) -> DataFrame:
         """The rows as JSON text in ``value``: selected keys that a record lacks are left out, explicit nulls stay."""
         q = Query.of(q)
@@ -102,6 +121,9 @@ class Database:
 
     def _predicate(self, w: Where) -> Column:
         kind = literal_type(w.value)
+        pruned = self.source.compare(w.key, w.operation, literal_value(w.value))
+        if pruned is not None:
+            return pruned
         col = self.source.typed(w.key, kind)
         if kind is FieldType.Null:
             return col if w.operation in ("==", "<=", ">=") else F.lit(False)
@@ -132,7 +154,8 @@ class Database:
             columns.append(value)
         return [c.desc_nulls_last() if descending else c.asc_nulls_last() for c in columns]
 
-    def _ordered(self, rows: DataFrame, q: Query) -> DataFrame:
+    def _keys(self, q: Query) -> list[Column]:
+        """What the result is sorted by: ``orderBy``, else the first where key; a limit alone takes the file order."""
         keys, down = [], False
         if q.order_by:
             for o in q.order_by:
@@ -142,6 +165,10 @@ class Database:
             keys = self._sort_keys(q.where[0].key, False, q)
         if q.order_by or (q.ordered and (q.where or q.limit is not None)):
             keys += [F.col(c).desc() if down else F.col(c).asc() for c in self.source.order]
+        return keys
+
+    def _ordered(self, rows: DataFrame, q: Query) -> DataFrame:
+        keys = self._keys(q)
         if keys:
             rows = rows.orderBy(*keys)
         return rows if q.limit is None else rows.limit(q.limit)
@@ -152,9 +179,13 @@ class Database:
         s = q.search
         doc = self.source.order[0]
         text = self.source.typed(s.key, FieldType.String)
-        docs = self.source.df.select(F.col(doc).alias("doc"), text.alias("text"))
         allowed = self._filtered(q).select(F.col(doc).alias("doc")) if q.where else None
-        scored = S.search(docs, s.like, s.min_gram, s.max_gram, within=allowed, limit=q.limit)
+        stored = self.source.postings(s.key)
+        if stored is not None:
+            scored = S.search_postings(stored, self.source.entries(), s.like, s.min_gram, s.max_gram, within=allowed, limit=q.limit)
+        else:
+            docs = self.source.df.select(F.col(doc).alias("doc"), text.alias("text"))
+            scored = S.search(docs, s.like, s.min_gram, s.max_gram, within=allowed, limit=q.limit)
         hits = scored.select(F.col("doc").alias("_doc"), F.col("score").alias("_score"))
         if q.limit is not None and q.limit <= MAX_HITS_SENT:
             hits = F.broadcast(hits)

@@ -101,7 +101,7 @@ class QueryBuilder:
         return replace(self, query=replace(self.query, search=Search(key, like, min_gram, max_gram)))
 
     def ordered(self, on: bool) -> QueryBuilder:
-        """Switch off the implicit order by the first where key."""
+        """Switch off the implicit order by the first where key, which saves the sort."""
         return replace(self, query=replace(self.query, ordered=on))
 
     def toQuery(self) -> Query:  # noqa: N802
@@ -112,6 +112,10 @@ class QueryBuilder:
     def get(self):
         return self.database.query(self.query)
 
+    def pull(self, size: int = 1000):
+        """The rows in pages, as they are asked for."""
+        return self.database.pull(self.query, size)
+
     def json(self):
         return self.database.query_json(self.query)
 

@@ -264,6 +264,84 @@ def csv_where(spark, d):
 SQL["csv_where"] = "select count(*) n, round(sum(trip_distance), 6) total from trips where trip_distance >= 10"
 
 
+def _file(spark: SparkSession, *lines: DataFrame) -> str:
+    """The lines (one column each, in this order) as one text file in the shared folder, written by one task: a file is what these queries open."""
+    from sparkseek.runtime import fresh_path, hadoop_path
+
+    path, rows = fresh_path(spark, "file"), lines[0]
+    for more in lines[1:]:
+        rows = rows.union(more)
+    rows.coalesce(1).write.text(path)
+    fs, folder = hadoop_path(spark, path)
+    return next(s.getPath().toString() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+
+
+@_query("select file_id, vendor_id, count(*) n, round(sum(trip_distance), 6) total from trips where trip_distance >= 10 and store_and_fwd_flag group by all")
+def csv_file_where(spark, d):
+    """Trips as a CSV file, opened and queried: cells keep their own types, empty ones are no numbers."""
+    from sparkseek.sources.export import csv_lines
+
+    header = ["file_id", "vendor_id", "trip_distance", "store_and_fwd_flag"]
+    path = _file(spark, spark.createDataFrame([(",".join(header),)], "value string"), csv_lines(_table(spark, d, "trips").select(header)))
+    db = Database.open(path, spark, format="csv")
+    rows = db.where("trip_distance", ">=", 10).where("store_and_fwd_flag", "==", True).ordered(False).get()
+    number = lambda f: db.source.typed(f, FieldType.Float64)
+    vendor = F.nullif(db.source.cell("vendor_id"), F.lit(""))
+    return rows.groupBy(number("file_id").cast("long").alias("file_id"), vendor.alias("vendor_id")).agg(F.count("*").alias("n"), F.round(F.sum(number("trip_distance")), 6).alias("total"))
+
+
+# stored tables: read once, then filtered by typed columns and searched by postings
+
+
+def _stored(spark: SparkSession, lines: DataFrame, **options) -> Database:
+    from sparkseek.runtime import fresh_path
+    from sparkseek.sources import store
+
+    path = fresh_path(spark, "stored")
+    store.sync(spark, _file(spark, lines), path, **options)
+    return Database.open(path, spark)
+
+
+@_query("select event_id, value, event_type from events where value >= 20 and event_type = 'view'")
+def stored_where(spark, d):
+    db = _stored(spark, _table(spark, d, "events").select(F.to_json(F.struct("event_id", "event_type", "value"))), sort_by="value")
+    rows = db.where("value", ">=", 20).where("event_type", "==", "view").ordered(False).get()
+    number = lambda f: db.source.typed(f, FieldType.Float64)
+    return rows.select(number("event_id").cast("long").alias("event_id"), number("value").alias("value"), db.source.typed("event_type", FieldType.String).alias("event_type"))
+
+
+@_query("select 1 as version, 'jsonl' as format, count(*) entries, sum(strlen(json_line))::bigint + count(*) read_offset from permits")
+def stored_metadata(spark, d):
+    """Version, format, entries and read offset of a stored table."""
+    db = _stored(spark, _table(spark, d, "permits").where("json_line is not null").select("json_line"), mode="permissive")
+    return spark.createDataFrame([db.metadata()], "version int, format string, entries long, read_offset long")
+
+
+@_query(SQL["catalog_fields"])
+def stored_catalog(spark, d):
+    """The catalog of a stored table, without a look at its records."""
+    db = _stored(spark, _table(spark, d, "permits").where("json_line is not null").select("json_line"), mode="permissive")
+    return db.source.field_rows().select("field", "type", "entries")
+
+
+@_query(
+    "select 'o_orderkey' field_name, sum(length(o_orderkey::varchar))::bigint total_field_value_length from orders union all select 'o_custkey', sum(length(o_custkey::varchar))::bigint from orders "
+    "union all select 'o_orderstatus', sum(length(o_orderstatus) + 2)::bigint from orders union all select 'o_orderpriority', sum(length(o_orderpriority) + 2)::bigint from orders"
+)
+def catalog_total_length(spark, d):
+    """Total lengths of field values, strings with their quotes."""
+    rows = _db(spark, d, "orders", ["o_orderkey"]).index_meta()
+    return rows.where(F.col("field_name").isin("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")).select("field_name", "total_field_value_length")
+
+
+@_query("select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey desc) as n from orders qualify n <= 250")
+def paging_pull(spark, d):
+    """Five pages of fifty, pulled one after another."""
+    pages = _db(spark, d, "orders", ["o_orderkey"]).orderBy("o_totalprice", "DESC").select(["o_orderkey"]).limit(250).pull(50)
+    rows = [(r["o_orderkey"], p * 50 + i + 1) for p, page in enumerate(pages) for i, r in enumerate(page)]
+    return spark.createDataFrame(rows, "o_orderkey long, n long")
+
+
 # n-grams and search
 
 _WORDS = r"string_split(trim(regexp_replace(lower(regexp_replace(text, '[^a-zA-Z0-9 \t\n\r]', '', 'g')), '[ \t\n\r]+', ' ', 'g')), ' ')"
@@ -335,6 +413,15 @@ def search_stored_postings(spark, d):
     return found.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@_query(_sql_search("battery", 3, 3, "rating >= 4 and lang = 'en'"))
+def stored_search(spark, d):
+    """Search of a stored table: the postings of the query's grams are read, no text is."""
+    db = _stored(spark, _table(spark, d, "documents").select(F.to_json(F.struct("doc_id", "text", "lang", "rating"))), search_fields=("text",))
+    found = db.query({"search": {"key": "text", "like": "battery", "config": {"minGram": 3, "maxGram": 3}}, "where": [{"key": "rating", "operation": ">=", "value": 4}, {"key": "lang", "operation": "==", "value": "en"}]})
+    best = found.select(F.get_json_object("data", "$.doc_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+    return best.orderBy(F.col("score").desc(), "doc_id").limit(20)  # ties of the file order go by doc_id here
+
+
 # vectors
 
 _QUERY_VECTOR = "(select embedding::double[] from embeddings where vec_id = 0)"
@@ -382,6 +469,40 @@ def knn_hnsw(spark, d):
     return hnsw.search(spark.read.parquet(path), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)
 
 
+def _reached(found: DataFrame, true: DataFrame) -> DataFrame:
+    return K.recall(found, true).select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@_query("select count(*) queries, true as reached from embeddings where vec_id % 50 = 0 and embedding is not null")
+def knn_hnsw_recall(spark, d):
+    """Whether the graphs' recall, against exact search, is at least 0.9."""
+    e = _table(spark, d, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return _reached(knn_hnsw(spark, d).withColumnRenamed("id", "vec_id"), K.knn_batch(e, queries, 5))
+
+
+@_query("select 1::bigint queries, true as reached")
+def knn_lsh_recall(spark, d):
+    """Whether the hashed search finds at least 0.9 of the ten nearest to the first vector."""
+    e, q = _table(spark, d, "embeddings"), F.lit(0).cast("long").alias("query_id")
+    return _reached(knn_lsh(spark, d).select(q, "vec_id"), K.knn(e, _vector(spark, d), 10).select(q, "vec_id"))
+
+
+@_query("select count(*) as vectors, true as found from embeddings where embedding is not null")
+def vector_store_append(spark, d):
+    """Vectors appended to a stored index in three steps, then looked up: how many it has, and whether each of a set of queries finds itself first."""
+    from sparkseek.operators import hnsw
+    from sparkseek.runtime import fresh_path
+
+    e = _table(spark, d, "embeddings")
+    store = hnsw.VectorStore(spark, fresh_path(spark, "vectors"), 64)
+    for step in range(3):
+        store.append(e.where(F.pmod(F.xxhash64("vec_id"), F.lit(3)) == step))
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    first = store.search(queries, 1).agg((F.avg((F.col("dist") < 1e-6).cast("double")) >= 0.9).alias("found"))
+    return first.select(F.lit(sum(n for _, n in store.shards().values())).cast("long").alias("vectors"), "found")
+
+
 @_query("select r_regionkey || ',' || case when r_name like '%,%' then '\"' || r_name || '\"' else r_name end as \"value\" from region")
 def export_csv(spark, d):
     from sparkseek.sources.export import csv_lines

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkseek.sources import rejects as R
 
@@ -20,16 +21,26 @@ def p1_rejects(spark: SparkSession, d: str) -> DataFrame:
     return _load(spark, d)[1]
 
 
+#: Reasons that don't come from the CSV reader.
+PLAIN_REASONS = ("null line", "blank line", "unbalanced quotes")
+
+
+def p1_reject_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Rejected lines with raw text and the class of the reason; all that the reader or the grammar rejects is ``malformed``."""
+    reason = F.col("reason")
+    return _load(spark, d)[1].select("line_id", "raw", F.when(reason.isin(*PLAIN_REASONS), reason).otherwise("malformed").alias("class"))
+
+
 def p1_records(spark: SparkSession, d: str) -> DataFrame:
     """Typed rows of all valid lines."""
     return _load(spark, d)[0]
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p1_rejects": p1_rejects}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p1_rejects": p1_rejects, "p1_reject_classes": p1_reject_classes}
 
 _TEXT, _WHOLE = r'(?:"(?:[^"]|"")*"|[^",\r\n]*)', r'(?:[0-9]+|"[0-9]+")'
-_META, _POINTER = ",".join([r'("?)M\1'.replace(r"\1", '"?'), *[_WHOLE] * 5]), ",".join(['"?P"?', _WHOLE, _TEXT, _WHOLE, _WHOLE, _WHOLE, _TEXT])
-_META, _POINTER = _META.replace('("?)M"?', '(?:M|"M")'), _POINTER.replace('"?P"?', '(?:P|"P")')
+_META = ",".join(['(?:M|"M")', *[_WHOLE] * 5])
+_POINTER = ",".join(['(?:P|"P")', _WHOLE, _TEXT, _WHOLE, _WHOLE, _WHOLE, _TEXT])
 _CAPTURE_P = ",".join(['(?:P|"P")', f"({_WHOLE})", f"({_TEXT})", f"({_WHOLE})", f"({_WHOLE})", f"({_WHOLE})", f"({_TEXT})"])
 
 
@@ -56,4 +67,8 @@ good as (select * from valid where file_id <= 18446744073709551615 and (kind = '
 SQL = {
     "p1_found": _VALID + " select line_id from index_dump where line_id not in (select line_id from good)",
     "p1_records": _VALID + " select line_id, kind, file_id::decimal(20,0) file_id, version::int version, format::int format, read_offset::decimal(20,0) read_offset, entries::decimal(20,0) entries, field_name, field_type::int field_type, \"offset\"::decimal(20,0) \"offset\", length::bigint length, \"value\" from good",
+    "p1_reject_classes": _VALID
+    + """ select line_id, raw_line raw, case when raw_line is null then 'null line' when regexp_full_match(r, '\\s*', 's') then 'blank line'
+    when length(replace(r, '"', '')) % 2 <> length(r) % 2 then 'unbalanced quotes' else 'malformed' end as "class"
+    from index_dump join l using (line_id) where line_id not in (select line_id from good)""",
 }

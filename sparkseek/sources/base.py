@@ -69,3 +69,15 @@ class Source(ABC):
 
     def entries(self) -> int:
         return self.df.count()
+
+    def metadata(self) -> dict:
+        """{version, format, read_offset, entries}; None where the source has no such thing."""
+        return {"version": None, "format": None, "read_offset": None, "entries": self.entries()}
+
+    def compare(self, field: str, operation: str, value) -> Column | None:
+        """A predicate that the scan can take over, if the source knows a better one than comparing ``typed``."""
+        return None
+
+    def postings(self, field: str) -> DataFrame | None:
+        """Stored (doc, gram, tf) of a search field, if there are any."""
+        return None

@@ -48,11 +48,6 @@ def infer(cell: Column) -> Column:
     )
 
 
-def rank(kind: Column) -> Column:
-    """Order of values of different types: null, boolean, number, string."""
-    return F.when(kind == "Null", 0).when(kind == "Boolean", 1).when(kind == "Float64", 2).otherwise(3)
-
-
 def bronze(lines: DataFrame, header: list[str], mode: str = "failfast") -> DataFrame:
     """(_offset, _length, value) plus ``cells``, a map from header to text; the header line itself (offset 0) is left out.
 
@@ -83,10 +78,14 @@ class CsvSource(Source):
         return F.try_element_at("cells", F.lit(field))
 
     def field_rows(self) -> DataFrame:
-        place = F.create_map(*(F.lit(x) for i, h in enumerate(dict.fromkeys(self.header)) for x in (h, i)))
         each = self.df.where("cells is not null").select("_offset", F.explode("cells").alias("field", "cell"))
         size = F.when(infer(F.col("cell")).isin("String", "Float64"), F.length("cell")).when(infer(F.col("cell")) == "Boolean", 1).otherwise(0)
-        return each.groupBy("field", infer(F.col("cell")).alias("type")).agg((F.min("_offset") * 1000 + F.element_at(place, F.col("field"))).alias("first"), F.count("*").alias("entries"), F.sum(size.cast("long")).alias("total_length"))
+        return each.groupBy("field", infer(F.col("cell")).alias("type")).agg(F.min("_offset").alias("first"), F.count("*").alias("entries"), F.sum(size.cast("long")).alias("total_length"))
+
+    def headers(self) -> dict[str, list[FieldType]]:
+        """Fields in the order of the header line."""
+        place = {h: i for i, h in reversed(list(enumerate(self.header)))}
+        return dict(sorted(super().headers().items(), key=lambda x: place[x[0]]))
 
     def typed(self, field: str, t: FieldType) -> Column:
         cell = self.cell(field)

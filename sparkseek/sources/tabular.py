@@ -5,6 +5,8 @@ SQL NULL is what ``== None`` matches here, since a table can't tell null from mi
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +73,30 @@ class TabularSource(Source):
             return F.date_format(col, ISO)
         return col.cast("string") if t is FieldType.String and not isinstance(spark_type, T.StringType) else col
 
+    def compare(self, field: str, operation: str, value) -> Column | None:
+        """Times and dates against ISO text, as times and dates: text of the same order, but the scan can prune by it.
+
+        A text that breaks off after a whole part (``2024-01-10``) is less than every time it begins; anything else that isn't a time stays text.
+        """
+        kind = self._types[field]
+        zoned = isinstance(kind, T.TimestampType)
+        if not isinstance(value, str) or not (zoned or isinstance(kind, (T.TimestampNTZType, T.DateType))):
+            return None
+        if zoned and self.df.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "GMT"):
+            return None  # where clocks are set back, text is out of order
+        col, whole, shape = self.raw(field), 10 if isinstance(kind, T.DateType) else 26, "0001-01-01T00:00:00.000000"
+        full = value + shape[len(value) :]
+        try:
+            start = dt.datetime.strptime(full, "%Y-%m-%dT%H:%M:%S.%f")
+        except ValueError:
+            return None
+        if len(value) > whole or len(value) in (0, 1, 2, 3, 6, 9, 12, 15, 18) or start.strftime("%Y-%m-%dT%H:%M:%S.%f") != full:
+            return None
+        literal = F.lit(full[:whole].replace("T", " ")).cast(kind)
+        if len(value) == whole:
+            return {"<": col < literal, "<=": col <= literal, "==": col == literal, ">=": col >= literal, ">": col > literal}[operation]
+        return {"<": col < literal, "<=": col < literal, "==": F.lit(False), ">=": col >= literal, ">": col >= literal}[operation]
+
     def projected(self, field: str) -> Column:
         return self.raw(field).alias(field)
 

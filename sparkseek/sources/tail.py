@@ -1,7 +1,8 @@
 """Lines of append-only files with their byte ranges: a Python data source for batch and streaming reads.
 
-``format("sparkseek_lines")``, options ``path``, ``start`` (byte offset), ``split`` (bytes per task). Columns: ``_offset``, ``_length``
-(bytes, without the line end) and ``value``. A last line without ``\\n`` is held back until it is complete. A stream's offset is the byte
+``format("sparkseek_lines")``, options ``path``, ``start`` (byte offset), ``split`` (bytes per task), ``end``, ``invalid``. Columns: ``_offset``, ``_length``
+(bytes, without the line end) and ``value``. ``end`` bounds the read; ``invalid``: a line that is no UTF-8 is an ``error``, or has the
+broken bytes replaced by U+FFFD (``replace``). A last line without ``\\n`` is held back until it is complete. A stream's offset is the byte
 position up to which lines were read, so a restart goes on where the last committed batch ended.
 """
 
@@ -64,7 +65,16 @@ def _ranges(start: int, end: int, split: int) -> list[Range]:
     return [Range(a, min(a + split, end)) for a in range(start, end, split)]
 
 
-def _lines(path: str, part: Range, first: int, end: int) -> Iterator[pa.RecordBatch]:
+def _text(line: bytes, at: int, invalid: str) -> str:
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        if invalid == "replace":
+            return line.decode("utf-8", "replace")
+        raise ValueError(f"not UTF-8 in the line at byte {at}") from None
+
+
+def _lines(path: str, part: Range, first: int, end: int, invalid: str = "error") -> Iterator[pa.RecordBatch]:
     """Batches of the lines that start in the range; ``first``: where the file's first line of this read starts."""
     with _open(path) as f:
         at = part.start
@@ -77,7 +87,7 @@ def _lines(path: str, part: Range, first: int, end: int) -> Iterator[pa.RecordBa
             line = f.readline()
             offsets.append(at)
             lengths.append(len(line) - 1)
-            values.append(line[:-1].decode("utf-8", "replace"))
+            values.append(_text(line[:-1], at, invalid))
             at += len(line)
             size += len(line)
             if size > 4 * BLOCK:
@@ -92,20 +102,20 @@ def _batch(offsets: list, lengths: list, values: list) -> pa.RecordBatch:
 
 
 class LinesReader(DataSourceReader):
-    def __init__(self, path: str, start: int, split: int):
-        self.path, self.start, self.split = path, start, split
-        self.end = complete_end(path, start)
+    def __init__(self, path: str, start: int, split: int, end: int | None, invalid: str):
+        self.path, self.start, self.split, self.invalid = path, start, split, invalid
+        self.end = complete_end(path, start) if end is None else end
 
     def partitions(self):
         return _ranges(self.start, self.end, self.split) or [Range(self.start, self.start)]
 
     def read(self, partition: Range):
-        return _lines(self.path, partition, self.start, self.end)
+        return _lines(self.path, partition, self.start, self.end, self.invalid)
 
 
 class LinesStreamReader(DataSourceStreamReader):
-    def __init__(self, path: str, start: int, split: int):
-        self.path, self.start, self.split = path, start, split
+    def __init__(self, path: str, start: int, split: int, end: int | None, invalid: str):
+        self.path, self.start, self.split, self.invalid = path, start, split, invalid
         self.seen = start
 
     def initialOffset(self) -> dict:
@@ -119,7 +129,7 @@ class LinesStreamReader(DataSourceStreamReader):
         return [_Bounded(r.start, r.end, start["o"], end["o"]) for r in _ranges(start["o"], end["o"], self.split)]
 
     def read(self, partition: _Bounded):
-        return _lines(self.path, partition, partition.first, partition.last)
+        return _lines(self.path, partition, partition.first, partition.last, self.invalid)
 
     def commit(self, end: dict) -> None:
         pass
@@ -139,8 +149,9 @@ class LinesSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def _args(self) -> tuple[str, int, int]:
-        return self.options["path"], int(self.options.get("start", 0)), int(self.options.get("split", 64 << 20))
+    def _args(self) -> tuple[str, int, int, int | None, str]:
+        end = self.options.get("end")
+        return self.options["path"], int(self.options.get("start", 0)), int(self.options.get("split", 64 << 20)), None if end is None else int(end), self.options.get("invalid", "error")
 
     def reader(self, schema) -> LinesReader:
         return LinesReader(*self._args())

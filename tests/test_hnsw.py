@@ -50,6 +50,52 @@ def test_shards(spark, tmp_path, monkeypatch):
         assert [got[q, i + 1] for i in range(5)] == np.argsort(((x - x[q]) ** 2).sum(1))[:5].tolist()
 
 
+def test_arrays_round_trip():
+    x = np.random.default_rng(3).normal(size=(300, 4)).astype(np.float32)
+    g = graph(x, m=6, ef=32)
+    back = H.Graph.from_arrays(g.to_arrays())
+    assert back.links == g.links and back.entry == g.entry and (back.points == g.points[: g.size]).all()
+    assert back.insert(x[0]) == 300 and back.knn(x[0], 2)[0][0] == 0.0
+    assert H.Graph.from_arrays(H.Graph(3).to_arrays()).knn((0, 0, 0), 2) == []
+
+
+def test_store_grows_by_appends(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(330, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in p], "clash") for i, p in enumerate(x)] + [(999, None, "x")], "vec_id long, embedding array<float>, shard string")
+    store = H.VectorStore(spark, f"file://{tmp_path}/v", 4, shard_rows=100)
+    assert store.index().count() == 0 and store.append(df.limit(0)) == 0
+    for low, high in ((0, 150), (150, 160), (160, 330)):
+        store.append(df.where((df.vec_id >= low) & (df.vec_id < high)))
+    assert store.version() == 3 and sum(n for _, n in store.shards().values()) == 330
+    assert 4 <= store.index().count() <= 6
+    queries = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = {(r["query_id"], r["rank"]): r["id"] for r in store.search(queries, 5).collect()}
+    hits = sum(got[q, i + 1] in np.argsort(((x - x[q]) ** 2).sum(1))[:5] for q in range(0, 330, 50) for i in range(5))
+    assert hits >= 33
+    with pytest.raises(Exception, match="dimensions"):
+        store.append(spark.createDataFrame([(1000, [1.0])], "vec_id long, embedding array<float>"))
+    assert store.version() == 3
+
+
+def test_knn_batch_in_blocks(spark):
+    from sparkseek.operators import knn as K
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, size=(120, 3)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, v.tolist(), "c") for i, v in enumerate(x)] + [(500, None, "c"), (None, [0.0, 0.0, 0.0], "c")], "vec_id int, embedding array<double>, id string").repartition(3)
+    queries = df.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    for block in (1000, 7):
+        got = {}
+        for r in K.knn_batch(df, queries, 4, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["dist"], 9)))
+        dist = np.sqrt(((x[:40, None] - x[None]) ** 2).sum(2))
+        assert got == {q: [(i, round(dist[q, i], 9)) for i in np.lexsort((np.arange(120), dist[q]))[:4]] for q in range(40)}
+    assert K.knn_batch(df, queries.limit(0), 4).count() == 0 and K.knn_batch(df.limit(0), queries, 4).count() == 0
+    with pytest.raises(Exception, match="different size"):
+        K.knn_batch(spark.createDataFrame([(1, [1.0])], "vec_id int, embedding array<double>"), queries, 1).collect()
+
+
 def test_export_round_trip(spark, tmp_path):
     rows = [(1, 'a "b", c', None), (2, "line\nbreak", 2.5)]
     df = spark.createDataFrame(rows, "id long, t string, x double")

@@ -97,8 +97,7 @@ def test_knn_batch_and_lsh(spark):
     queries = v.where("vec_id in (0, 55)").selectExpr("vec_id as query_id", "embedding as query")
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in K.knn_batch(v, queries, 3).collect()}
     assert got == {(0, 1): 0, (0, 2): 1, (0, 3): 10, (55, 1): 55, (55, 2): 45, (55, 3): 54}
-    with pytest.raises(ValueError):
-        K.knn_batch(v, queries, 3, max_queries=1)
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in K.knn_batch(v, queries, 3, block=1).collect()} == got
     assert K.knn_lsh(v, (0.0, 0.0), 5, bucket=4.0).count() == 5
 
 

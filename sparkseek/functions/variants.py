@@ -64,19 +64,19 @@ def read_as(value: Column, kind: str) -> Column:
     return F.when(right, F.try_variant_get(value, "$", kind))
 
 
-def nesting(schema: str) -> int:
-    """Levels of objects in a schema string of ``schema_of_variant``; objects inside arrays don't count. Names may be quoted by backticks."""
-    deepest, open_, i = 0, [], 0
-    while i < len(schema):
-        if schema[i] == "`":
-            i = schema.index("`", i + 1)
-        elif schema.startswith("OBJECT<", i) or schema.startswith("ARRAY<", i):
-            open_.append(schema[i] == "O")
-            i = schema.index("<", i)
-            deepest = max(deepest, len(open_) if all(open_) else 0)
-        elif schema[i] == ">":
-            open_.pop()
-        i += 1
+def _brackets(schema: Column) -> Column:
+    """A schema string's brackets alone: ``{`` and ``[`` open an object and an array, ``>`` closes either. Quoted names may hold any character."""
+    bare = F.regexp_replace(schema, "`[^`]*`", "")
+    return F.regexp_replace(F.replace(F.replace(bare, F.lit("OBJECT<"), F.lit("{")), F.lit("ARRAY<"), F.lit("[")), r"[^{\[>]", "")
+
+
+def nesting(brackets: str) -> int:
+    """Levels of objects; objects inside arrays don't count."""
+    deepest, open_ = 0, ""
+    for c in brackets:
+        open_ = open_[:-1] if c == ">" else open_ + c
+        if "[" not in open_:
+            deepest = max(deepest, len(open_))
     return deepest
 
 
@@ -85,9 +85,9 @@ def _deepest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def levels(df: DataFrame, v: str) -> int:
-    """Levels of nested objects in the column, 1 for flat ones. Each distinct schema of a record is looked at once."""
-    schemas = df.select(F.schema_of_variant(v).alias("s")).distinct()
-    return max(1, schemas.mapInArrow(_deepest, "levels int").agg(F.max("levels")).first()[0] or 0)
+    """Levels of nested objects in the column, 1 for flat ones. Each distinct nesting is looked at once."""
+    shapes = df.select(_brackets(F.schema_of_variant(v)).alias("s")).distinct()
+    return max(1, shapes.mapInArrow(_deepest, "levels int").agg(F.max("levels")).first()[0] or 0)
 
 
 def flatten(df: DataFrame, v: str, keep: list[str], depth: int | None = None) -> DataFrame:

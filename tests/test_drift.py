@@ -141,8 +141,9 @@ def test_place_alone_is_a_stated_rename_but_no_likely_one(spark):
     assert [tuple(r)[1:4] for r in drift(False).matched().collect()] == [("cost", "kind", True)]
 
 
-def test_nesting():
-    from sparkseek.functions.variants import nesting
+def test_nesting(spark):
+    from sparkseek.functions import variants as V
 
-    assert nesting("OBJECT<a: BIGINT, b: OBJECT<c: ARRAY<OBJECT<d: STRING>>>>") == 2 and nesting("OBJECT<`x<y`: VOID>") == 1 and nesting("VOID") == 0
-    assert nesting("OBJECT<a: ARRAY<OBJECT<b: OBJECT<c: BIGINT>>>, d: OBJECT<e: OBJECT<f: BIGINT>>>") == 3
+    deep = lambda *lines: V.levels(V.with_variant(spark.createDataFrame([(x,) for x in lines], "j string"), "j", "v"), "v")
+    assert deep('{"a":1,"b":{"c":[{"d":"s"}]}}') == 2 and deep('{"x<y":null,"OBJECT<":1,"a`b{":2}') == 1 and deep(None, "[1]") == 1
+    assert deep('{"a":"text"}', '{"a":{"b":1}}', '{"a":[{"b":{"c":1}}],"d":{"e":{"f":{"g":1}}}}', '{"a":{}}') == 4

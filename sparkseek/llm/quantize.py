@@ -335,14 +335,17 @@ def _scorer(shared, s: Settings, d: int):
         take, keep = min(s.rerank + 1, len(x)), min(s.k, len(x))
         wide = x.astype(np.float64)
         ids, dists, sizes = [], [], []
-        chunk = max(1, 2_000_000 // len(x))
+        words, at = [-2 * w for w in b.fine], [codes[:, m].astype(np.intp) for m in range(len(b.fine))]
+        chunk = max(1, 131_072 // len(x))  # a table of scores stays in the cache
         for i in range(0, len(q), chunk):
             part = q[i : i + chunk]
-            score = norm - 2 * (part @ center)[:, None]
-            for m, words in enumerate(b.fine):
-                score -= 2 * np.take(part @ words.T, codes[:, m], axis=1)
+            score = norm[:, None] - 2 * (part @ center)
+            for m, table in enumerate(words):
+                score += np.take(table @ part.T, at[m], axis=0)
+            score = np.ascontiguousarray(score.T)
             near = np.argpartition(score, take - 1, axis=1)[:, :take] if take < len(x) else np.broadcast_to(np.arange(len(x)), score.shape)
-            exact = np.sqrt(((wide[near] - part.astype(np.float64)[:, None, :]) ** 2).sum(2))
+            away = wide[near] - part.astype(np.float64)[:, None, :]
+            exact = np.sqrt(np.einsum("ijk,ijk->ij", away, away))
             names = xid[near]
             exact[names == qid[i : i + chunk, None]] = np.inf
             order = np.lexsort((names, exact), axis=1)[:, :keep]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["reference", "rejects", "drift", "intervals"]
+MODULES = ["reference", "rejects", "drift", "intervals", "contracts"]
 
 
 def _all(what: str) -> dict:

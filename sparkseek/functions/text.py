@@ -70,8 +70,9 @@ def _ascii(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def normalized(word: Column) -> Column:
-    """Normal form of a column of words; each distinct spelling of a batch is converted once. Null stays null."""
-    return _arrow(_normalize)(word)
+    """Normal form of a column of words. Null stays null. ASCII words stay in the JVM; of others each distinct spelling of a batch is converted once."""
+    plain = F.octet_length(word) == F.length(word)
+    return F.when(plain, F.lower(F.regexp_replace(word, "[^A-Za-z0-9]+", ""))).otherwise(_arrow(_normalize)(F.when(~plain, word)))
 
 
 def nfkd_ascii(text: Column) -> Column:

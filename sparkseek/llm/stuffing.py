@@ -12,6 +12,7 @@ its documents. Every pass over the features is array code with fixed-size sums p
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from math import log
@@ -62,7 +63,7 @@ _ELIDED = regex.compile(r"(?:[jlnmcst]|qu)'\w")
 _JAPANESE = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}]")
 _PARTICLE = regex.compile("は|を|に|が|で[すし]|ます|まし|した|ない|って|から|より")
 _RUN = regex.compile(r"[、。，．,.!?！？]+")
-_SPLIT = regex.compile(r"[\n\r|•·;]+|\s/\s|\s[-–—]\s|\s\*\s|->")
+_SPLIT = re.compile(r"[\n\r|•·;]+|\s/\s|\s[-–—]\s|\s\*\s|->")
 _STRIP = regex.compile(r"^[^\w']+|[^\w']+$")
 _BARE = r"[^\p{L}\p{N}']+"
 _ENDS = "test|example|invalid|com|net|org|info|biz|shop|store|online|site|io|co|de|es|fr|jp|uk|us|ru|cn"
@@ -72,7 +73,7 @@ _LINK = regex.compile(
     regex.IGNORECASE | regex.VERBOSE,
 )
 #: What every match of _LINK has: looked for first.
-_HINT = regex.compile(rf"://|<|\[|\(\.\)|(?:\.|\ dot\ )(?:{_ENDS})", regex.IGNORECASE)
+_HINT = re.compile(r"://|[<\[]|\(\.\)|\.[a-z]| dot ", re.IGNORECASE)
 
 
 #: Characters of the Western code page by the byte they stand for, as they appear where UTF-8 was read in it.
@@ -80,6 +81,10 @@ _BYTE = {bytes([b]).decode("cp1252", "ignore") or chr(b): b for b in range(0x80,
 _MISREAD = regex.compile("[" + "".join(map(regex.escape, _BYTE)) + "]{2,}")
 
 
+#: A first byte of a UTF-8 sequence before a later one, both read as characters.
+_LEAD = re.compile("[{}][{}]".format(*("".join(re.escape(c) for c, b in _BYTE.items() if low <= b < high) for low, high in ((0xC2, 0xF5), (0x80, 0xC0)))))
+
+
 def _repaired(text: str) -> str:
     """The text with UTF-8 sequences that were read as single-byte characters put right; anything else stays."""
 
@@ -89,7 +94,7 @@ def _repaired(text: str) -> str:
         except UnicodeDecodeError:
             return m.group()
 
-    return text if text.isascii() else _MISREAD.sub(back, text)
+    return text if text.isascii() or not _LEAD.search(text) else _MISREAD.sub(back, text)
 
 
 PLAIN, TAG = 0, None
@@ -147,7 +152,9 @@ class Extractor:
         known, learn = self.tokens.get, self.token
         stretches = [[(len(t), *(known(t) or learn(t))) for t in stretch.split()] for gap in gaps for stretch in _SPLIT.split(gap)]
         bare = [word for tokens in stretches for _, _, word in tokens]
-        spoken_here = _ANY | self.languages({(kind, word) for tokens in stretches for _, kind, word in tokens if kind})
+        spoken_here = _ANY
+        if any(kind and not kind & _ANY for tokens in stretches for _, kind, _ in tokens):
+            spoken_here |= self.languages({(kind, word) for tokens in stretches for _, kind, word in tokens if kind})
         for tokens in stretches:
             since, waiting = REACH + 1, []  # sizes of the tokens that no function word is near so far
             for size, kind, _ in tokens:

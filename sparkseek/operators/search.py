@@ -93,5 +93,5 @@ def search_postings(p: DataFrame, n_docs: int, like: str, low: int = 1, high: in
 
 
 def write_postings(p: DataFrame, path: str) -> None:
-    """Store postings so that min/max statistics prune by gram."""
-    p.repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").write.mode("overwrite").parquet(path)
+    """Store postings so that min/max statistics prune by gram. They are written before they are ranged: the ranges' sampling would compute them again."""
+    materialize(p, "postings").repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").write.mode("overwrite").parquet(path)

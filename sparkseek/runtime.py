@@ -113,6 +113,8 @@ def commit_file(spark: SparkSession, folder: str, name: str, content: str) -> bo
         return not fs.exists(target) and fs.rename(tmp, target)
     except FileExistsError:
         return False
+    except OSError:  # a file system without links
+        return not fs.exists(target) and fs.rename(tmp, target)
     finally:
         fs.delete(tmp, False)
 

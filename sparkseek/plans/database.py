@@ -24,7 +24,7 @@ class Database:
         self.source = source
 
     @classmethod
-    def open(cls, source, spark: SparkSession | None = None, format: str | None = None, search_fields: tuple[str, ...] = (), order: list[str] | None = None, mode: str = "failfast", strict_search: bool = False, split: int = 64 << 20) -> Database:  # noqa: A002
+    def open(cls, source, spark: SparkSession | None = None, format: str | None = None, search_fields: tuple[str, ...] = (), order: list[str] | None = None, mode: str = "failfast", strict_search: bool = False, split: int | None = None) -> Database:  # noqa: A002
         """A DataFrame, a Source, a stored table's folder (``sparkseek.sources.store``), or the path of a .jsonl, .csv or Parquet file
         (``format`` overrides the suffix; for a stored table it is checked). In ``permissive`` mode broken lines stay, with broken UTF-8 replaced."""
         from sparkseek.sources.tabular import TabularSource

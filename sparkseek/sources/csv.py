@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkseek.functions.columns import once
 from sparkseek.functions.types import FieldType
 from sparkseek.sources.base import Source
 
@@ -34,7 +35,7 @@ def number(cell: Column) -> Column:
     plain = F.when(cell.rlike(WHOLE) | cell.rlike(FLOAT), cell.try_cast("double"))
     in_range = F.when(F.abs(plain) != F.lit(float("inf")), plain)
     infinite = F.when(cell.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(cell.rlike(INFINITE), infinite).when(cell.rlike(NAN), F.lit(float("nan"))).when(cell.rlike(HEX_FLOAT), _hex_float(cell)).otherwise(in_range)
+    return F.when(~cell.rlike("^[-+.0-9iInN]"), None).when(cell.rlike(WHOLE), in_range).when(cell.rlike(INFINITE), infinite).when(cell.rlike(NAN), F.lit(float("nan"))).when(cell.rlike(HEX_FLOAT), _hex_float(cell)).otherwise(in_range)
 
 
 def infer(cell: Column) -> Column:
@@ -59,15 +60,16 @@ def bronze(lines: DataFrame, header: list[str], mode: str = "failfast") -> DataF
     bare = F.regexp_replace("value", '"[^"]*"', "")  # quoted parts hold no separators
     n = F.length(bare) - F.length(F.regexp_replace(bare, ",", "")) + 1
     rows = lines.where("_offset > 0").withColumn("_c", F.from_csv("value", fields, {"mode": "PERMISSIVE", "escape": '"', "emptyValue": ""})).withColumn("_n", n)
-    names = F.array(*map(F.lit, header))
-    cells = F.array(*(F.when(F.col("_n") > i, F.coalesce(F.col(f"_c.c{i}"), F.lit(""))) for i in range(width)))
-    entries = F.filter(F.arrays_zip(names.alias("k"), cells.alias("c")), lambda e: e.getField("c").isNotNull())
+    places: dict[str, list[int]] = {}
+    for i, h in enumerate(header):
+        places.setdefault(h, []).insert(0, i)
+    cell = lambda i: F.when(F.col("_n") > i, F.coalesce(F.col(f"_c.c{i}"), F.lit("")))
+    every = F.map_from_arrays(F.array(*map(F.lit, places)), F.array(*(F.coalesce(*map(cell, at)) for at in places.values())))
     out = rows.withColumn("_over", F.col("_n") > width)
     if mode == "failfast":
         wrong = F.raise_error(F.concat(F.lit("more cells than headers at byte "), F.col("_offset").cast("string")))
         out = out.withColumn("_over", F.when(F.col("_over"), wrong.cast("boolean")).otherwise(F.lit(False)))
-    merged = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e.getField("k")), F.create_map(e.getField("k"), e.getField("c"))))
-    return out.withColumn("cells", F.when(~F.col("_over"), merged)).withColumn("_corrupt", F.col("_over")).drop("_c", "_n", "_over")
+    return out.withColumn("cells", F.when(~F.col("_over"), F.map_filter(every, lambda _, c: c.isNotNull()))).withColumn("_corrupt", F.col("_over")).drop("_c", "_n", "_over")
 
 
 class CsvSource(Source):
@@ -79,8 +81,9 @@ class CsvSource(Source):
 
     def field_rows(self) -> DataFrame:
         each = self.df.where("cells is not null").select("_offset", F.explode("cells").alias("field", "cell"))
-        size = F.when(infer(F.col("cell")).isin("String", "Float64"), F.length("cell")).when(infer(F.col("cell")) == "Boolean", 1).otherwise(0)
-        return each.groupBy("field", infer(F.col("cell")).alias("type")).agg(F.min("_offset").alias("first"), F.count("*").alias("entries"), F.sum(size.cast("long")).alias("total_length"))
+        each = each.select("*", once(infer(F.col("cell"))).alias("type"))
+        size = F.when(F.col("type").isin("String", "Float64"), F.length("cell")).when(F.col("type") == "Boolean", 1).otherwise(0)
+        return each.groupBy("field", "type").agg(F.min("_offset").alias("first"), F.count("*").alias("entries"), F.sum(size.cast("long")).alias("total_length"))
 
     def headers(self) -> dict[str, list[FieldType]]:
         """Fields in the order of the header line."""

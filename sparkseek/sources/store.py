@@ -70,7 +70,7 @@ def _source(lines: DataFrame, state: dict, mode: str) -> Source:
     return J.JsonSource(J.bronze(lines, mode), search)
 
 
-def sync(spark: SparkSession, data: str, path: str, format: str = "jsonl", search_fields: tuple[str, ...] = (), sort_by: str | None = None, mode: str = "failfast", split: int = 64 << 20) -> dict:  # noqa: A002
+def sync(spark: SparkSession, data: str, path: str, format: str = "jsonl", search_fields: tuple[str, ...] = (), sort_by: str | None = None, mode: str = "failfast", split: int | None = None) -> dict:  # noqa: A002
     """Append the lines of ``data`` that were completed since the last sync; gives the table's state. Nothing new changes nothing.
 
     ``search_fields`` and ``sort_by`` (a field; rows of a part are sorted by its numbers, then its strings) are fixed by the first sync. A

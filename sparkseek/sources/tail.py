@@ -166,6 +166,16 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LinesSource)
 
 
-def read_lines(spark: SparkSession, path: str, **options):
+SPLIT = 64 << 20
+LEAST_SPLIT = 1 << 20
+
+
+def read_lines(spark: SparkSession, path: str, split: int | None = None, **options):
+    """The file's complete lines. Without ``split`` a task gets SPLIT bytes, or less where the file is too small to keep all cores busy with that."""
     register(spark)
+    if split is None:
+        with _open(path) as f:
+            size = _size(f) - int(options.get("start", 0))
+        split = min(SPLIT, max(LEAST_SPLIT, -(-size // (2 * spark.sparkContext.defaultParallelism))))
+    options["split"] = split
     return spark.read.format("sparkseek_lines").option("path", path).options(**options).load()

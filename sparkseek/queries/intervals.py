@@ -39,9 +39,10 @@ def commit_pending(spark: SparkSession, d: str) -> tuple[I.LedgerStore, int, int
     trips, _, ledger = _tables(spark, d)
     todo = materialize(_pending(trips, ledger), "todo")  # read several times
     store = I.LedgerStore(spark, fresh_path(spark, "ledger"), ledger)
-    size = trips.groupBy("file_id", "rec_offset").agg(F.max("rec_length").alias("len"), F.max("written_at").alias("seen"))
+    size = trips.groupBy("file_id", "rec_offset").agg(F.max("rec_length").alias("len"))
+    seen = trips.agg(F.max("written_at").alias("as_of"))  # one row: the run's snapshot time, so that its records become few intervals
     end = F.col("rec_offset") + F.coalesce("len", F.lit(0)) + 1
-    read = size.join(todo, ["file_id", "rec_offset"]).select(F.col("file_id").alias("key"), F.col("rec_offset").alias("lo"), end.alias("hi"), F.col("seen").alias("as_of"))
+    read = size.join(todo, ["file_id", "rec_offset"]).crossJoin(F.broadcast(seen)).select(F.col("file_id").alias("key"), F.col("rec_offset").alias("lo"), end.alias("hi"), "as_of")
     read = materialize(read, "read")
     store.prepare(read, todo)  # breaks off here
     first, second = store.prepare(read, todo), store.prepare(read, todo)

@@ -118,6 +118,7 @@ def test_first_commit_takes_in_the_initial_ledger(spark, tmp_path):
 def test_nothing_is_pending_after_the_commit(spark):
     store, lost, left = commit_pending(spark, helpers.DATA)
     assert (left, lost, store.version()) == (0, 1, 1) and store.output().count() > 0
+    assert store.ledger().count() < store.output().count()  # touching records of a run are one interval
 
 
 def test_of_two_racing_runs_one_commits(spark, tmp_path):
